@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..ship import ship
 
-__all__ = ["cut", "map_batches", "read_table", "spread"]
+__all__ = ["cut", "map_batches", "nonblank", "read_table", "spread"]
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -66,4 +66,4 @@ def map_batches(
 
 def nonblank(column: str) -> "F.Column":
     """True for text with at least one non-whitespace character (Unicode whitespace)."""
-    return F.col(column).isNotNull() & F.col(column).rlike(r"[^\s\x1c-\x1f\x85\xa0  -     　]")
+    return F.col(column).isNotNull() & F.col(column).rlike("[^\\s\\x1c-\\x1f\\x85\\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")

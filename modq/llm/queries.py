@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import lookalike, mojibake
+from . import layout_copies, lookalike, mojibake
 from .base import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -22,6 +22,19 @@ def both_texts(spark: SparkSession, sf_dir: str, *extra: str) -> DataFrame:
     )
 
 
+def _delivered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return layout_copies.texts_of(read_table(spark, sf_dir, "moderation_examples"), read_table(spark, sf_dir, "raw_rows"))
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    groups = layout_copies.layout_groups(_delivered(spark, sf_dir))
+    return groups.where("row_idx <> first_row_idx").select("first_row_idx", "row_idx").distinct()
+
+
+def p2_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return layout_copies.collapse(_delivered(spark, sf_dir))
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mojibake.find_garbled(read_table(spark, sf_dir, "multimodal_examples")).select("row_idx", "restored_id").distinct()
 
@@ -42,4 +55,4 @@ def p6_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return forms.select("tbl", "row_idx", F.left(F.sha2("form", 256), F.lit(16)).alias("form_id"), (F.col("form") != F.col("text")).alias("changed"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p4_found, p4_flag_coverage, p6_found, p6_forms)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p2_found, p2_copies, p4_found, p4_flag_coverage, p6_found, p6_forms)}
