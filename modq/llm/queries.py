@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import layout_copies, lookalike, mojibake
+from . import layout_copies, leak_search, lookalike, mixing, mojibake
 from .base import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -55,4 +55,26 @@ def p6_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return forms.select("tbl", "row_idx", F.left(F.sha2("form", 256), F.lit(16)).alias("form_id"), (F.col("form") != F.col("text")).alias("changed"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p2_found, p2_copies, p4_found, p4_flag_coverage, p6_found, p6_forms)}
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    leaks = leak_search.find_leaks(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "eval_items"))
+    return leaks.select("doc_id", "item_id").distinct()
+
+
+def p8_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leak_search.leak_report(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "eval_items"))
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p9_shares(spark, sf_dir).where("NOT reachable").select("source")
+
+
+def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counted = mixing.token_counts(read_table(spark, sf_dir, "documents"))
+    return mixing.plan_report(counted, read_table(spark, sf_dir, "mix_targets"))
+
+
+def p9_uses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.select_mix(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "mix_targets"))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p2_found, p2_copies, p4_found, p4_flag_coverage, p6_found, p6_forms, p8_found, p8_items, p9_found, p9_shares, p9_uses)}
