@@ -3,7 +3,8 @@
 Method: script-aware repair.  A token's dominant script decides; look-alike letters are substituted only in tokens that
 mix repertoires (or stand alone among words of the other script), and only when the result is a word of the corpus
 vocabulary, which is counted over all rows.  Full-width and presentation forms, separate accents, invisible characters
-and odd spaces have one form by rule.  Everything runs in the JVM: regular expressions, ``translate`` and joins.
+and odd spaces have one form by rule.  One pass counts
+the vocabulary, combining within batches; a second one looks only at rows with characters beyond ASCII.
 
 Defined results: null text gives null and is never a case; empty text stays empty; repeated rows repeat; empty tables give
 empty results.  Every text is processed whole.
@@ -13,12 +14,13 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections import Counter
 from functools import lru_cache
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import map_batches
+from .base import map_batches, spread
 
 # fixed values: letters that look like a Latin letter, by script, each with the letter it looks like
 LOOKS_LATIN = {
@@ -48,7 +50,21 @@ STRAY_JOINER = (
     "|(?<![←-⯿️\U0001f000-\U0001faff])‍"
 )
 STRAY_SELECTOR = "(?<![©®‼-㊙#*0-9\U0001f000-\U0001faff])[︎️]"
-TOKEN = r"[^\p{L}\p{M}\p{N}_]+"
+_DROP = re.compile(f"[{INVISIBLE}]|{STRAY_JOINER}|{STRAY_SELECTOR}")
+_FOLD = re.compile(f"[{FULL_WIDTH}{PRESENTATION}]+")
+_SPACE = re.compile(f"[{SPACES}]")
+_ONE = re.compile(f"[{FULL_WIDTH}{PRESENTATION}{INVISIBLE}{SPACES}]|{STRAY_JOINER}|{STRAY_SELECTOR}")
+#: Disregarded inside words: invisible characters, optional Arabic vowel marks and the stretching stroke.
+_UNSEEN = re.compile(f"[{INVISIBLE}\u200c\u200d\u064b-\u0652\u0670\u0640]")
+_FOREIGN = re.compile(f"[{FOREIGN}]")
+_VARIANT = re.compile(f"[{LOOKS_ARABIC[0]}{LOOKS_ARABIC[1]}ى]")
+_INSIDE = re.compile(f"[A-Za-z][{FOREIGN}]+[A-Za-z]")
+_LATIN = re.compile("[A-Za-zÀ-ɏ]")
+#: A word of two or more Greek or Cyrillic letters, one of which looks like no Latin letter.
+_OTHER_WORD = re.compile(f"(?=\\w*[^\\W{FOREIGN}A-Za-z0-9_])[\u0370-\u03ff\u0400-\u052f]{{2,}}")
+_TO_LATIN = str.maketrans(FOREIGN, LATIN_FOR)
+_TO_ARABIC = str.maketrans(*LOOKS_ARABIC)
+_WORD = re.compile(r"\w+")
 
 
 @lru_cache(maxsize=None)
@@ -64,94 +80,116 @@ def composable() -> dict[str, str]:
     return pairs
 
 
-@lru_cache(maxsize=None)
-def separate_accent() -> str:
-    return "|".join(f"[{''.join(bases)}]{mark}" for mark, bases in sorted(composable().items()))
+@lru_cache(maxsize=1)
+def _marks() -> re.Pattern:
+    return re.compile("[" + "".join(composable()) + "]")
+
+
+@lru_cache(maxsize=1)
+def _separate_accent() -> re.Pattern:
+    return re.compile("|".join(f"[{''.join(bases)}]{mark}" for mark, bases in sorted(composable().items())))
+
 
+def is_case_by_rule(text: str) -> bool:
+    """True if a text has a form that is a case by its characters alone.
 
-def by_rule(text: Column) -> Column:
-    """True if a text has a form that is a case by its characters alone."""
-    one = f"[{FULL_WIDTH}{PRESENTATION}{INVISIBLE}{SPACES}]|{STRAY_JOINER}|{STRAY_SELECTOR}"
-    marks = "[" + "".join(composable()) + "]"
-    return text.rlike(one) | (text.rlike(marks) & text.rlike(separate_accent()))
+    A look-alike between two Latin letters is one even in a word that the corpus has only once, such as a handle.
+    """
+    return bool(_ONE.search(text) or _INSIDE.search(text) or (_marks().search(text) and _separate_accent().search(text)))
 
 
-def tokens(text: Column) -> Column:
+def text_words(text: str) -> list[str]:
     """Words of a text; invisible characters do not part words."""
-    return F.split(F.regexp_replace(text, f"[{INVISIBLE}\u200c\u200d]", ""), TOKEN)
+    return _WORD.findall(text if text.isascii() else _UNSEEN.sub("", text))
 
 
-def vocabulary(texts: DataFrame, text_col: str = "text") -> DataFrame:
-    """``token, n``: in how many rows each word occurs, over all rows.  Words with look-alike letters keep their case."""
-    t = F.col("t")
-    words = texts.select(F.explode(F.array_distinct(tokens(F.col(text_col)))).alias("t")).where(F.length("t") > 0)
-    return words.groupBy(F.when(t.rlike(f"[{FOREIGN}]"), t).otherwise(F.lower("t")).alias("token")).agg(F.count("*").alias("n"))
+def bare_form(word: str) -> str:
+    """What all spellings of a word with look-alike letters have in common."""
+    return word.translate(_TO_LATIN).lower().translate(_TO_ARABIC)
 
 
-def repairs(vocab: DataFrame) -> DataFrame:
-    """``token, repaired, alone``: words to be substituted.
+def vocabulary(texts: DataFrame, text_col: str = "text") -> DataFrame:
+    """``token, bare, n``: in how many rows each word occurs, over all rows.
 
-    ``alone`` marks words written wholly in the other script, which are substituted only among words of the text's own script.
+    Words with look-alike letters of other scripts keep their case.  Counts are combined within Arrow batches before the shuffle.
     """
-    t = F.col("token")
-    latin = F.lower(F.translate(t, FOREIGN, LATIN_FOR))
-    mixed = (
-        vocab.where(t.rlike(f"[{FOREIGN}]"))
-        .select("token", latin.alias("repaired"), (~t.rlike("[A-Za-z\u00c0-\u024f]")).alias("alone"), F.col("n").alias("n_form"))
-        .where(F.col("repaired").rlike("^[a-z0-9_\u00c0-\u024f]+$"))
-    )
-    known = vocab.where(~t.rlike(f"[{FOREIGN}]")).select(t.alias("repaired"), F.col("n").alias("n_word"))
-    latin_script = (
-        mixed.join(known, "repaired")
-        .where((F.col("n_word") >= LEAST_COUNT) & (F.col("n_word") > F.col("n_form")))
-        .select("token", "repaired", "alone")
-    )
-    # Arabic and Persian spellings of one word, compared by frequency
-    spelled = vocab.where(t.rlike(f"[{LOOKS_ARABIC[0]}\u0643\u064a\u0647\u0649]")).withColumn("bare", F.translate("token", *LOOKS_ARABIC))
-    best = spelled.groupBy("bare").agg(F.max(F.struct("n", "token")).alias("best"), F.count("*").alias("forms")).where("forms > 1")
-    arabic = (
-        spelled.join(best, "bare")
-        .where((t != F.col("best.token")) & (F.col("best.n") >= LEAST_COUNT) & (F.col("best.n") >= TIMES_AS_FREQUENT * F.col("n")))
-        .select("token", F.col("best.token").alias("repaired"), F.lit(False).alias("alone"))
-    )
-    return latin_script.unionByName(arabic)
 
+    def batch(cols: dict[str, list]) -> dict[str, list]:
+        n: Counter = Counter()
+        for text in cols["text"]:
+            n.update({w if not w.isascii() and _FOREIGN.search(w) else w.lower() for w in text_words(text)})
+        return {"token": list(n), "bare": [w if w.isascii() else bare_form(w) for w in n], "n": list(n.values())}
 
-def _words_of(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """One row per word that could be a look-alike spelling, with the share of Latin words around it."""
-    some = rows.where(F.col("text").rlike(f"[{FOREIGN}{LOOKS_ARABIC[0]}\u0643\u064a\u0647\u0649]"))
-    w = F.col("w")
-    return some.select(
-        *keys,
-        F.col("text").rlike(r"\b[A-Za-z]{2,}").alias("latin_text"),
-        F.explode(
-            F.array_distinct(F.filter(tokens(F.col("text")), lambda x: x.rlike(f"[{FOREIGN}{LOOKS_ARABIC[0]}\u0643\u064a\u0647\u0649]")))
-        ).alias("w"),
-        F.size(F.filter(tokens(F.col("text")), lambda x: x.rlike(r"^[\p{IsCyrillic}\p{IsGreek}]{2,}$") & x.rlike(f"[^{FOREIGN}]"))).alias("real_foreign"),
-    ).withColumn("token", F.when(w.rlike(f"[{FOREIGN}]"), w).otherwise(F.lower("w")))
+    parts = map_batches(
+        spread(texts.select(F.col(text_col).alias("text")).where("text IS NOT NULL")), batch, "token string, bare string, n long"
+    )
+    return parts.groupBy("bare", "token").agg(F.sum("n").alias("n"))
 
 
-def substitutions(rows: DataFrame, keys: list[str], vocab: DataFrame | None = None) -> DataFrame:
+def repairs(vocab: DataFrame) -> DataFrame:
+    """``token, repaired``: spellings to be substituted by the corpus's own spelling of the same word."""
+    t, n = F.col("token"), F.col("n")
+    foreign = t.rlike(f"[{FOREIGN}]")
+    best = F.max(F.when(~foreign, F.struct("n", "token")))
+    forms = vocab.groupBy("bare").agg(
+        best.alias("best"), F.count("*").alias("forms"), F.collect_list(F.struct("token", "n")).alias("spelled")
+    )  # the spellings of one word
+    every = forms.where("forms > 1 AND best IS NOT NULL").select("best", F.inline("spelled"))
+    often = F.col("best.n") >= LEAST_COUNT
+    return every.where(
+        (t != F.col("best.token"))
+        & often
+        & F.when(foreign, F.col("best.n") > n).otherwise(~t.rlike("^[\\x00-\\x7f]*$") & (F.col("best.n") >= TIMES_AS_FREQUENT * n))
+    ).select("token", F.col("best.token").alias("repaired"))
+
+
+def row_words(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """``keys, ruled, words``: rows with a case by rule or with words that could be look-alike spellings.
+
+    A word written wholly in another script counts only in a Latin text without real words of that script.
+    """
+    kinds = dict(rows.dtypes)
+    some = rows.select(*keys, "text").where(F.col("text").rlike("[^\\x00-\\x7f]"))
+
+    def batch(cols: dict[str, list]) -> dict[str, list]:
+        out: dict[str, list] = {c: [] for c in [*keys, "ruled", "words"]}
+        for i, text in enumerate(cols["text"]):
+            ruled, found = is_case_by_rule(text), set()
+            if _FOREIGN.search(text) or _VARIANT.search(text):
+                clean = _UNSEEN.sub("", text)
+                own = bool(_LATIN.search(clean)) and not _OTHER_WORD.search(clean)
+                for w in _WORD.findall(clean):
+                    if _FOREIGN.search(w):
+                        if own or _LATIN.search(w):
+                            found.add(w)
+                    elif _VARIANT.search(w):
+                        found.add(w.lower())
+            if ruled or found:
+                for k in keys:
+                    out[k].append(cols[k][i])
+                out["ruled"].append(ruled)
+                out["words"].append(sorted(found))
+        return out
+
+    return map_batches(spread(some), batch, ", ".join(f"`{k}` {kinds[k]}" for k in keys) + ", ruled boolean, words array<string>")
+
+
+def substitutions(rows: DataFrame, keys: list[str], found: DataFrame | None = None) -> DataFrame:
     """``keys, w, repaired``: the words of each row to be substituted."""
-    vocab = vocabulary(rows) if vocab is None else vocab
-    joined = _words_of(rows, keys).join(repairs(vocab), "token")
-    ok = ~F.col("alone") | (F.col("latin_text") & (F.col("real_foreign") == 0))
-    return joined.where(ok).select(*keys, "w", "repaired")
+    found = row_words(rows, keys) if found is None else found
+    return (
+        found.select(*keys, F.explode("words").alias("w"))
+        .join(repairs(vocabulary(rows)).withColumnRenamed("token", "w"), "w")
+        .select(*keys, "w", "repaired")
+    )
 
 
 def find_lookalikes(rows: DataFrame, keys: list[str]) -> DataFrame:
     """Distinct ``keys`` of rows whose text has at least one such form."""
     rows = rows.select(*keys, "text").where(F.col("text").isNotNull())
-    ruled = rows.where(by_rule(F.col("text"))).select(*keys)
-    # a look-alike between two Latin letters is a case even in a word the corpus has only once, such as a handle
-    inside = rows.where(F.col("text").rlike(f"[A-Za-z][{FOREIGN}]+[A-Za-z]")).select(*keys)
-    return ruled.unionByName(inside).unionByName(substitutions(rows, keys).select(*keys)).distinct()
-
-
-
-_DROP = re.compile(f"[{INVISIBLE}]|{STRAY_JOINER}|{STRAY_SELECTOR}")
-_FOLD = re.compile(f"[{FULL_WIDTH}{PRESENTATION}]+")
-_SPACE = re.compile(f"[{SPACES}]")
+    found = row_words(rows, keys)
+    open_rows = found.where("NOT ruled")
+    return found.where("ruled").select(*keys).unionByName(substitutions(rows, keys, open_rows).select(*keys)).distinct()
 
 
 def plain_form(text: str) -> str:
