@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import layout_copies, leak_search, lookalike, mixing, mojibake
+from . import layout_copies, leak_search, lookalike, mixing, mojibake, split_overlap
 from .base import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -22,6 +22,15 @@ def both_texts(spark: SparkSession, sf_dir: str, *extra: str) -> DataFrame:
     )
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = split_overlap.find_overlaps(read_table(spark, sf_dir, "multimodal_examples"), read_table(spark, sf_dir, "image_blobs"))
+    return pairs.select(F.least("train_row", "eval_row").alias("row_idx_a"), F.greatest("train_row", "eval_row").alias("row_idx_b"))
+
+
+def p1_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return split_overlap.overlap_report(read_table(spark, sf_dir, "multimodal_examples"), read_table(spark, sf_dir, "image_blobs"))
+
+
 def _delivered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layout_copies.texts_of(read_table(spark, sf_dir, "moderation_examples"), read_table(spark, sf_dir, "raw_rows"))
 
@@ -77,4 +86,4 @@ def p9_uses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.select_mix(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "mix_targets"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p2_found, p2_copies, p4_found, p4_flag_coverage, p6_found, p6_forms, p8_found, p8_items, p9_found, p9_shares, p9_uses)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_report, p2_found, p2_copies, p4_found, p4_flag_coverage, p6_found, p6_forms, p8_found, p8_items, p9_found, p9_shares, p9_uses)}
