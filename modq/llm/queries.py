@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import layout_copies, leak_search, lookalike, mixing, mojibake, split_overlap
+from . import layout_copies, leak_search, lookalike, mixing, mojibake, shared_spans, split_overlap
 from .base import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -86,4 +86,16 @@ def p9_uses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.select_mix(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "mix_targets"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_report, p2_found, p2_copies, p4_found, p4_flag_coverage, p6_found, p6_forms, p8_found, p8_items, p9_found, p9_shares, p9_uses)}
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shared_spans.sharing_pairs(read_table(spark, sf_dir, "documents"))
+
+
+def p10_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shared_spans.span_classes(read_table(spark, sf_dir, "documents"))
+
+
+def p10_share(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shared_spans.shared_share(read_table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_report, p2_found, p2_copies, p4_found, p4_flag_coverage, p6_found, p6_forms, p8_found, p8_items, p9_found, p9_shares, p9_uses, p10_found, p10_spans, p10_share)}
