@@ -7,19 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import layout_copies, leak_search, lookalike, mixing, mojibake, shared_spans, split_overlap
+from . import abuse, layout_copies, leak_search, lookalike, mixing, mojibake, shared_spans, split_overlap
 from .base import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
-def both_texts(spark: SparkSession, sf_dir: str, *extra: str) -> DataFrame:
-    """``tbl, row_idx, text`` of moderation_examples and multimodal_examples."""
-    return read_table(spark, sf_dir, "moderation_examples").select(
-        F.lit("moderation_examples").alias("tbl"), "row_idx", "text"
-    ).unionByName(
-        read_table(spark, sf_dir, "multimodal_examples").select(F.lit("multimodal_examples").alias("tbl"), "row_idx", "text")
+def both_texts(spark: SparkSession, sf_dir: str, with_source: bool = False) -> DataFrame:
+    """``tbl, row_idx, text`` (and ``source``) of moderation_examples and multimodal_examples."""
+    own = ("row_idx", "text")
+    first = read_table(spark, sf_dir, "moderation_examples").select(
+        F.lit("moderation_examples").alias("tbl"), *own, *(["source"] if with_source else [])
     )
+    source = [F.split("source_img_path", "/")[0].alias("source")] if with_source else []
+    second = read_table(spark, sf_dir, "multimodal_examples").select(F.lit("multimodal_examples").alias("tbl"), *own, *source)
+    return first.unionByName(second)
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,6 +66,23 @@ def p6_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return forms.select("tbl", "row_idx", F.left(F.sha2("form", 256), F.lit(16)).alias("form_id"), (F.col("form") != F.col("text")).alias("changed"))
 
 
+def p7_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moderation, multimodal = read_table(spark, sf_dir, "moderation_examples"), read_table(spark, sf_dir, "multimodal_examples")
+    chain = abuse.train(moderation, multimodal, read_table(spark, sf_dir, "lexicon"))
+    rows = both_texts(spark, sf_dir, with_source=True)
+    return abuse.score_texts(rows, chain, ["tbl", "row_idx", "source"])
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p7_scores(spark, sf_dir).where(F.col(abuse.FINAL) >= abuse.THRESHOLD).select("tbl", "row_idx").distinct()
+
+
+def p7_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    flagged = (F.col(abuse.FINAL) >= abuse.THRESHOLD).cast("long")
+    scored = p7_scores(spark, sf_dir).groupBy("tbl", "source")
+    return scored.agg(F.count("*").alias("n_rows"), F.sum(flagged).alias("n_flagged"), F.avg(flagged).alias("rate"))
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     leaks = leak_search.find_leaks(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "eval_items"))
     return leaks.select("doc_id", "item_id").distinct()
@@ -98,4 +117,4 @@ def p10_share(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shared_spans.shared_share(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_report, p2_found, p2_copies, p4_found, p4_flag_coverage, p6_found, p6_forms, p8_found, p8_items, p9_found, p9_shares, p9_uses, p10_found, p10_spans, p10_share)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_report, p2_found, p2_copies, p4_found, p4_flag_coverage, p6_found, p6_forms, p7_found, p7_scores, p7_rates, p8_found, p8_items, p9_found, p9_shares, p9_uses, p10_found, p10_spans, p10_share)}
