@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import math
 import re
+import sys
 from collections import Counter
 
 import numpy as np
@@ -61,6 +62,7 @@ def score_words(text: str | None, slots: dict[str, str]) -> list[str]:
 
 
 def ngrams(ws: list[str]) -> set[str]:
+    """N-grams of one text; they are made anew where needed, not kept for the whole sample."""
     out = set(ws)
     for k in range(2, MOST_WORDS + 1):
         out.update(" ".join(ws[i : i + k]) for i in range(len(ws) - k + 1))
@@ -91,29 +93,30 @@ def _labels(rows: list) -> dict[str, np.ndarray]:
     return out
 
 
-def choose_features(grams: list[set[str]], y: np.ndarray) -> dict[str, int]:
+def choose_features(lists: list[list[str]], y: np.ndarray) -> dict[str, int]:
     """N-grams with a clear excess of labelled rows, then those that lower the rate among rows that have one of these."""
     known = np.flatnonzero(~np.isnan(y))
     base = float(np.clip(y[known].mean(), 1e-3, 0.999)) if len(known) else 0.5
     hits: Counter = Counter()
     for i in known[y[known] == 1]:
-        hits.update(grams[i])
+        hits.update(ngrams(lists[i]))
     hits = Counter({g: c for g, c in hits.items() if c >= LEAST_HITS})
     total: Counter = Counter()
     for i in known:
-        total.update(g for g in grams[i] if g in hits)
+        total.update(g for g in ngrams(lists[i]) if g in hits)
 
     def excess(p: int, n: int, rate: float) -> float:
         return (p - n * rate) / math.sqrt(n * rate * (1 - rate) + 1)
 
     up = {g for g, p in hits.items() if excess(p, total[g], base) >= LEAST_EXCESS and p / total[g] >= max(0.3, 2 * base)}
-    near = [i for i in known if not up.isdisjoint(grams[i])]
+    near = [i for i in known if not up.isdisjoint(ngrams(lists[i]))]
     rate = float(np.clip(y[near].mean(), 1e-3, 0.999)) if near else 0.5
     n_near, p_near = Counter(), Counter()
     for i in near:
-        n_near.update(grams[i])
+        own = ngrams(lists[i])
+        n_near.update(own)
         if y[i]:
-            p_near.update(grams[i])
+            p_near.update(own)
     down = {g for g, n in n_near.items() if n >= 4 and excess(p_near[g], n, rate) <= -3}
     return {g: k for k, g in enumerate(sorted(up | down))}
 
@@ -189,10 +192,10 @@ class Chain:
 
 def fit_chain(rows: list, slots: dict[str, str]) -> Chain:
     y = _labels(rows)
-    grams = [ngrams(score_words(r["text"], slots)) for r in rows]
+    lists = [[sys.intern(w) for w in score_words(r["text"], slots)] for r in rows]
     any_label = np.where(np.isnan(y[FINAL]), np.nan, np.nanmax([np.nan_to_num(y[c]) for c in (*CHAIN, FINAL)], axis=0)) if rows else np.zeros(0)
-    features = choose_features(grams, any_label)
-    ind = [sorted(features[g] for g in gs if g in features) for gs in grams]
+    features = choose_features(lists, any_label)
+    ind = [sorted(features[g] for g in ngrams(ws) if g in features) for ws in lists]
     rid = np.repeat(np.arange(len(rows)), [len(x) for x in ind])
     flat = np.array([k for x in ind for k in x], dtype=np.int64)
     fold, links, logits = np.arange(len(rows)) % FOLDS, [], []

@@ -40,6 +40,7 @@ def spread(df: DataFrame, per_core: int = 1) -> DataFrame:
 
     At scale the scan already has enough splits and nothing is shuffled.
     """
+    ship(df.sparkSession)
     want = df.sparkSession.sparkContext.defaultParallelism * per_core
     return df.repartition(want) if df.rdd.getNumPartitions() < want else df
 
@@ -48,6 +49,7 @@ def map_batches(
     df: DataFrame, fn: Callable[[dict[str, list]], dict[str, list]], schema: str | T.StructType
 ) -> DataFrame:
     """``mapInArrow`` over column lists: ``fn`` gets ``{column: python list}`` of one batch and returns the output columns."""
+    ship(df.sparkSession)
     struct = schema if isinstance(schema, T.StructType) else T.StructType.fromDDL(schema)
     from pyspark.sql.pandas.types import to_arrow_schema
 
