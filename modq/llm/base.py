@@ -9,9 +9,12 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, types as T
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
+from ..checkpoint import cut
 from ..ship import ship
 
 __all__ = ["cut", "map_batches", "nonblank", "read_table", "spread"]
@@ -21,20 +24,6 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return ship(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cut lineage with a reliable checkpoint.
-
-    The folder comes from ``spark.checkpoint.dir`` (shared storage on a cluster); only where that is unset, as in
-    local tests, a folder under the warehouse directory is used.
-    """
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(folder or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints")
-    return df.checkpoint(eager=True)
-
-
 def spread(df: DataFrame, per_core: int = 1) -> DataFrame:
     """Repartition only when the scan gives fewer partitions than there are cores (small files).
 
@@ -51,8 +40,6 @@ def map_batches(
     """``mapInArrow`` over column lists: ``fn`` gets ``{column: python list}`` of one batch and returns the output columns."""
     ship(df.sparkSession)
     struct = schema if isinstance(schema, T.StructType) else T.StructType.fromDDL(schema)
-    from pyspark.sql.pandas.types import to_arrow_schema
-
     arrow = to_arrow_schema(struct)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

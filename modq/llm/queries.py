@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import abuse, language, layout_copies, leak_search, lookalike, mixing, mojibake, shared_spans, split_overlap
+from . import abuse, language, layout_copies, leak_search, lookalike, mixing, mojibake, pii, shared_spans, split_overlap
 from .base import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -46,6 +46,14 @@ def p2_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layout_copies.collapse(_delivered(spark, sf_dir))
 
 
+def p3_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_pii(read_table(spark, sf_dir, "moderation_examples"))
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p3_redacted(spark, sf_dir).select("row_idx", F.explode("kinds").alias("kind")).distinct()
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mojibake.find_garbled(read_table(spark, sf_dir, "multimodal_examples")).select("row_idx", "restored_id").distinct()
 
@@ -128,4 +136,4 @@ def p10_share(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shared_spans.shared_share(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_report, p2_found, p2_copies, p4_found, p4_flag_coverage, p5_found, p5_segments, p6_found, p6_forms, p7_found, p7_scores, p7_rates, p8_found, p8_items, p9_found, p9_shares, p9_uses, p10_found, p10_spans, p10_share)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_report, p2_found, p2_copies, p3_found, p3_redacted, p4_found, p4_flag_coverage, p5_found, p5_segments, p6_found, p6_forms, p7_found, p7_scores, p7_rates, p8_found, p8_items, p9_found, p9_shares, p9_uses, p10_found, p10_spans, p10_share)}
