@@ -355,11 +355,11 @@ def redact(text: str, spans: list[tuple[int, int, str]]) -> str:
 def find_pii(rows: DataFrame, model: BiLstmCrf | None = None, id_col: str = "row_idx", slice_rows: int = 2_000) -> DataFrame:
     """``id_col, kinds, redacted`` of every row with personal information: one narrow pass, no shuffle on large scans."""
     some = rows.where(F.col(id_col).isNotNull() & nonblank("text")).select(F.col(id_col).cast("long").alias(id_col), "text")
-    shared = rows.sparkSession.sparkContext.broadcast(model) if model is not None else None
+    shared = rows.sparkSession.sparkContext.broadcast(model or default_model())  # weights of fixed size
     schema = pa.schema([(id_col, pa.int64()), ("kinds", pa.list_(pa.string())), ("redacted", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = shared.value if shared is not None else default_model()
+        own = shared.value
         for b in batches:
             for lo in range(0, b.num_rows, slice_rows):
                 part = b.slice(lo, slice_rows)
