@@ -73,27 +73,28 @@ def plausible(decoded: str, shown: str, codec: str) -> bool:
     """Decoded spans must be characters of ``TEXT_RANGES`` (C1 controls may come from text garbled twice).
 
     In pages of other scripts (cp1256, cp1251) a letter and a letter or comma of a real word can form one sequence by
-    chance, so there a span needs two sequences or a continuation that no word has.
+    chance, so there a span needs a continuation that no word has.
     """
     latin_page = codec not in ("cp1256", "cp1251")
-    if len(decoded) < 2 and not latin_page and shown[-1] not in NEVER_AFTER_LETTERS:
+    if not latin_page and not any(c in NEVER_AFTER_LETTERS for c in shown):
         return False
     return all(any(lo <= ord(c) <= hi for lo, hi in TEXT_RANGES) or latin_page and "\x80" <= c <= "\x9f" for c in decoded)
 
 
-def decode_spans(text: str, codec: str) -> str | None:
-    """The text with every maximal well-formed multibyte span decoded, or None if there is none."""
+def decode_spans(text: str, codec: str) -> tuple[int, str]:
+    """The text with every maximal well-formed multibyte span decoded, and how many characters the spans had."""
     if not lead_pattern(codec).search(text):
-        return None
+        return 0, text
     table = to_bytes_table(codec)
     raw = bytes(table.get(ord(c), 0) for c in text)
-    out, last = [], 0
+    out, last, used = [], 0, 0
     for m in SPAN.finditer(raw):
         decoded = m.group().decode("utf-8")
         if plausible(decoded, text[m.start() : m.end()], codec):
             out += [text[last : m.start()], decoded]
             last = m.end()
-    return "".join([*out, text[last:]]) if last else None
+            used += m.end() - m.start()
+    return used, "".join([*out, text[last:]])
 
 
 #: Letters of the Arabic code page 1256 as they look when its bytes are read as code page 1252.
@@ -106,16 +107,17 @@ ARABIC_RUN = re.compile(rf"(?<!\w){_WORD}(?:[\s.,:!|()\-]+{_WORD})*(?!\w)")
 ARABIC_WORD = re.compile(rf"[{re.escape(''.join(c for c in _LETTERS if 'À' <= c <= 'ÿ'))}]{{3,}}")
 
 
-def decode_arabic_runs(text: str) -> str | None:
+def decode_arabic_runs(text: str) -> tuple[int, str]:
     """Runs of words made of high bytes only, at least one with three letters, read as Arabic code page 1256."""
     if not ARABIC_WORD.search(text):
-        return None
-    out, last = [], 0
+        return 0, text
+    out, last, used = [], 0, 0
     for m in ARABIC_RUN.finditer(text):
         if ARABIC_WORD.search(m.group()):
             out += [text[last : m.start()], "".join(_ARABIC.get(ord(c), c) if ord(c) > 127 else c for c in m.group())]
             last = m.end()
-    return "".join([*out, text[last:]]) if last else None
+            used += sum(ord(c) > 127 for c in m.group())
+    return used, "".join([*out, text[last:]])
 
 
 def restore(text: str | None) -> tuple[bool, str | None]:
@@ -126,11 +128,9 @@ def restore(text: str | None) -> tuple[bool, str | None]:
         return True, None
     now = text
     for _ in range(MAX_ROUNDS):
-        better = decode_arabic_runs(now)
-        for codec in MISREAD_AS if better is None else ():
-            if (better := decode_spans(now, codec)) is not None:
-                break
-        if better is None:
+        # the reading that explains most characters; multibyte structure goes first among equals
+        used, better = max((*(decode_spans(now, codec) for codec in MISREAD_AS), decode_arabic_runs(now)), key=lambda x: x[0])
+        if not used:
             break
         now = better
     if now == text:
