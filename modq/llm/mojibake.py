@@ -23,6 +23,9 @@ from .base import map_batches, spread
 #: Code pages a UTF-8 text may have been read with, tried in this order.
 MISREAD_AS = ("cp1252", "cp1256", "mac_roman", "cp437", "cp850", "cp1251", "iso8859_15")
 
+#: Pages whose upper half is a script of its own.
+SCRIPT_PAGES = ("cp1256", "cp1251")
+
 #: Well-formed UTF-8 sequences of two to four bytes (Unicode standard, table 3-7).
 SEQUENCE = (
     rb"(?:[\xc2-\xdf][\x80-\xbf]|\xe0[\xa0-\xbf][\x80-\xbf]|[\xe1-\xec\xee\xef][\x80-\xbf]{2}|\xed[\x80-\x9f][\x80-\xbf]"
@@ -72,11 +75,11 @@ NEVER_AFTER_LETTERS = "ˆ†‡‰ƒ„‚€œ¢¥¦§¨©¬®¯±²³´µ¶·
 def plausible(decoded: str, shown: str, codec: str) -> bool:
     """Decoded spans must be characters of ``TEXT_RANGES`` (C1 controls may come from text garbled twice).
 
-    In pages of other scripts (cp1256, cp1251) a letter and a letter or comma of a real word can form one sequence by
-    chance, so there a span needs a continuation that no word has.
+    In pages of other scripts (cp1256, cp1251) two letters of a real word can form one sequence by chance, so there a span needs two
+    sequences or a continuation that no word has.
     """
-    latin_page = codec not in ("cp1256", "cp1251")
-    if not latin_page and not any(c in NEVER_AFTER_LETTERS for c in shown):
+    latin_page = codec not in SCRIPT_PAGES
+    if len(decoded) < 2 and not latin_page and shown[-1] not in NEVER_AFTER_LETTERS:
         return False
     return all(any(lo <= ord(c) <= hi for lo, hi in TEXT_RANGES) or latin_page and "\x80" <= c <= "\x9f" for c in decoded)
 
@@ -87,8 +90,13 @@ def decode_spans(text: str, codec: str) -> tuple[int, str]:
         return 0, text
     table = to_bytes_table(codec)
     raw = bytes(table.get(ord(c), 0) for c in text)
+    spans = list(SPAN.finditer(raw))
+    if codec in SCRIPT_PAGES and not any(
+        len(m.group()) >= 6 or any(c in NEVER_AFTER_LETTERS for c in text[m.start() : m.end()]) for m in spans
+    ):
+        return 0, text  # every span could be ordinary writing
     out, last, used = [], 0, 0
-    for m in SPAN.finditer(raw):
+    for m in spans:
         decoded = m.group().decode("utf-8")
         if plausible(decoded, text[m.start() : m.end()], codec):
             out += [text[last : m.start()], decoded]
