@@ -92,7 +92,9 @@ def decode_spans(text: str, codec: str) -> tuple[int, str]:
     raw = bytes(table.get(ord(c), 0) for c in text)
     spans = list(SPAN.finditer(raw))
     if codec in SCRIPT_PAGES and not any(
-        len(m.group()) >= 6 or any(c in NEVER_AFTER_LETTERS for c in text[m.start() : m.end()]) for m in spans
+        sum(c.isalpha() for c in text[m.start() + 1 : m.end() : 2]) >= 2 and len(m.group()) >= 6
+        or any(c in NEVER_AFTER_LETTERS for c in text[m.start() : m.end()])
+        for m in spans
     ):
         return 0, text  # every span could be ordinary writing
     out, last, used = [], 0, 0
