@@ -19,6 +19,7 @@ import math
 import re
 import sys
 from collections import Counter
+from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -42,6 +43,7 @@ _REPEATED = re.compile(r"(.)\1{2,}")
 _DIGIT_IN_WORD = re.compile(r"(?<=[a-z])[013457$@!](?=[a-z])")
 # fixed values: signs written for letters
 _LEET = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "$": "s", "@": "a", "!": "i"}
+_LEET_SIGN = re.compile(r"[013457$@!](?=[a-z])")
 _MASKED = re.compile(r"\w+\*+\w*|\*+\w+")
 _MARKS = re.compile("[ً-ْٰـ]")
 
@@ -61,6 +63,11 @@ def score_words(text: str | None, slots: dict[str, str]) -> list[str]:
     return [slots.get(w, w) for w in ws]
 
 
+@lru_cache(maxsize=1)
+def _ascii_dropped() -> dict[int, None]:
+    return {cp: None for cp in _dropped() if cp < 128}
+
+
 def ngrams(ws: list[str]) -> set[str]:
     """N-grams of one text; they are made anew where needed, not kept for the whole sample."""
     out = set(ws)

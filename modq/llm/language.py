@@ -96,30 +96,42 @@ class Coder:
     """Fitted bit classifiers; scores words by class."""
 
     def __init__(self, weights: np.ndarray, bias: np.ndarray, code: np.ndarray) -> None:
-        self.weights, self.bias, self.code, self.known = weights, bias, code, {}
+        self.weights, self.bias, self.code, self.known, self.known_costs = weights, bias, code, {}, {}
 
     def word_margins(self, w: str) -> np.ndarray:
         m = self.known.get(w)
         if m is None:
-            m = self.weights[word_features(w)].sum(0)
-            if len(self.known) < 200_000:  # a cache, not a limit
-                self.known[w] = m
+            m = self.known[w] = self.weights[word_features(w)].sum(0)
+            if len(self.known) > 200_000:  # a cache, not a limit
+                self.known.clear()
         return m
 
     def costs(self, margins: np.ndarray) -> np.ndarray:
         """Loss-weighted decoding: logistic loss of every class's codeword."""
         return np.logaddexp(0, -margins[..., None, :] * self.code).sum(-1)
 
-    def word_costs(self, ws: list[str]) -> np.ndarray:
-        return self.costs(np.array([self.word_margins(w) for w in ws]) + self.bias)
+    def word_cost(self, w: str) -> np.ndarray:
+        """A word's cost by class beyond its cheapest class; one word has bounded say."""
+        c = self.known_costs.get(w)
+        if c is None:
+            c = self.costs(self.word_margins(w) + self.bias)
+            c = np.minimum(c - c.min(), MOST_SAY)
+            if len(self.known_costs) < 200_000:  # a cache, not a limit
+                self.known_costs[w] = c
+        return c
 
     def segments(self, text: str | None) -> list[tuple[int, int, int, float]]:
         """(first word, words, class, confidence) of a text's maximal runs in one language."""
-        ws = text_words(text)
+        return self.word_segments(text_words(text))
+
+    def word_segments(self, ws: list[str]) -> list[tuple[int, int, int, float]]:
         if not ws:
             return []
-        cost = self.word_costs(ws)
-        cost = np.minimum(cost - cost.min(1, keepdims=True), MOST_SAY)  # one word has bounded say
+        cost = np.array([self.word_cost(w) for w in ws])
+        whole = cost.sum(0)
+        best = int(whole.argmin())
+        if whole[best] <= CHANGE:  # every word's cheapest class costs 0, so no change can pay
+            return [(0, len(ws), best, float(1 / np.exp(np.clip(whole[best] - whole, -50, 50)).sum()))]
         total, back = cost[0].copy(), []
         for c in cost[1:]:
             stay, move = total, total.min() + CHANGE
@@ -141,12 +153,12 @@ class Coder:
         """(language, words, confidence, ambiguous) of a text: of every language with a segment, or the nearest one of a short text."""
         by: dict[str, list[tuple[int, float]]] = {}
         ws = text_words(text)
-        found = self.segments(text)
+        found = self.word_segments(ws)
         for _, n, k, conf in found:
             if n >= LEAST_SEGMENT:
                 by.setdefault(CLASSES[k].split("_")[0], []).append((n, conf))
         if not by and found:
-            cost = self.word_costs(ws).sum(0)
+            cost = np.sum([self.word_cost(w) for w in ws], axis=0)
             order = np.argsort(cost)
             conf = float(1 / np.exp(np.clip(cost[order[0]] - cost, -50, 50)).sum())
             return [(CLASSES[order[0]].split("_")[0], len(ws), conf, bool(cost[order[1]] - cost[order[0]] < AMBIGUOUS))]

@@ -43,11 +43,12 @@ def edits_allowed(n: int) -> int:
     return n * LIMIT_PERCENT // 100
 
 
-def least_seeds(n: int, long_family: bool, repeats: bool) -> int:
-    """Distinct common seeds that two texts within the limit must have; ``n`` words in the longer one."""
+def least_seeds(n: int, long_family: bool) -> int:
+    """Common seeds that two texts within the limit must have on the allowed diagonals; ``n`` words in the longer one.
+
+    Seeds are counted by pairs of positions, so a repeated hash counts at least as often as it is aligned.
+    """
     e = edits_allowed(n)
-    if repeats:
-        return 1
     if long_family:
         return max(1, -(-(n - e - (K + WINDOW - 2) * (e + 1)) // WINDOW))
     return max(1, n - K_SHORT + 1 - K_SHORT * e)
@@ -119,38 +120,51 @@ def all_hashes(classes: DataFrame) -> DataFrame:
     return map_batches(classes.select("plain"), batch, "g long")
 
 
+def winnow(g: np.ndarray, hot: np.ndarray) -> np.ndarray:
+    """Positions of the minima of every two neighbouring hashes in the order (hot, hash)."""
+    if len(g) < WINDOW:
+        return np.arange(len(g))
+    rank = np.isin(g, hot).astype(np.int64)
+    first_wins = (rank[:-1] < rank[1:]) | ((rank[:-1] == rank[1:]) & (g[:-1] <= g[1:]))
+    chosen = np.zeros(len(g), bool)
+    chosen[:-1] |= first_wins
+    chosen[1:] |= ~first_wins
+    return np.flatnonzero(chosen)
+
+
 def fingerprints(classes: DataFrame, hot: "set[int]") -> DataFrame:
-    """``class_id, n, long_family, repeats, g, at``: the winnowed hashes of every class of at least seven words."""
+    """``class_id, train, evals, n, long_family, g, at``: the winnowed hashes of every class of at least seven words."""
     shared = classes.sparkSession.sparkContext.broadcast(np.array(sorted(hot), dtype=np.int64))
+    names = ("class_id", "train", "evals")
 
     def batch(cols: dict[str, list]) -> dict[str, list]:
         known = shared.value
-        out: dict[str, list] = {c: [] for c in ("class_id", "train", "evals", "n", "long_family", "repeats", "g", "at")}
+        out: dict[str, list] = {c: [] for c in (*names, "n", "g", "at", "g_long", "at_long")}
         lists = [p.split(" ") for p in cols["plain"]]
         h, sizes = word_numbers(lists)
         for i, (n, end) in enumerate(zip(sizes.tolist(), np.cumsum(sizes).tolist())):
             if edits_allowed(n + n // 5) == 0:  # no longer text within the limit either: only copies
                 continue
             own = h[end - n : end]
-            for long_family in (False, True):
-                if n >= SHORT if not long_family else n < LONG:
-                    continue
-                g = _hashes(own, K if long_family else K_SHORT)
-                if long_family:
-                    rank = np.isin(g, known).astype(np.int64)  # order: (hot, hash)
-                    first_wins = (rank[:-1] < rank[1:]) | ((rank[:-1] == rank[1:]) & (g[:-1] <= g[1:]))
-                    at = np.unique(np.where(first_wins, np.arange(len(g) - 1), np.arange(1, len(g)))) if len(g) > 1 else np.zeros(1, int)
-                else:
-                    at = np.arange(len(g))
-                repeats = len(np.unique(g)) < len(g)
-                for name, value in (("class_id", cols["class_id"][i]), ("train", cols["train"][i]), ("evals", cols["evals"][i]), ("n", n), ("long_family", long_family), ("repeats", repeats)):
-                    out[name].extend([value] * len(at))
-                out["g"].extend(g[at].tolist())
-                out["at"].extend(at.tolist())
+            short = _hashes(own, K_SHORT) if n < SHORT else np.zeros(0, np.int64)
+            long = _hashes(own, K) if n >= LONG else np.zeros(0, np.int64)
+            at = winnow(long, known)
+            for c in names:
+                out[c].append(cols[c][i])
+            out["n"].append(n)
+            out["g"].append(short)
+            out["at"].append(np.arange(len(short), dtype=np.int32))
+            out["g_long"].append(long[at])
+            out["at_long"].append(at.astype(np.int32))
         return out
 
-    schema = "class_id long, train boolean, evals boolean, n int, long_family boolean, repeats boolean, g long, at int"
-    return map_batches(classes, batch, schema)
+    schema = "class_id long, train boolean, evals boolean, n int, g array<long>, at array<int>, g_long array<long>, at_long array<int>"
+    arrays = map_batches(classes, batch, schema)
+    both = [
+        arrays.select(*names, "n", F.lit(long).alias("long_family"), F.inline(F.arrays_zip(F.col(g).alias("g"), F.col(at).alias("at"))))
+        for long, g, at in ((False, "g", "at"), (True, "g_long", "at_long"))
+    ]
+    return both[0].unionByName(both[1])
 
 
 def hot_hashes(classes: DataFrame) -> set[int]:
@@ -162,21 +176,19 @@ def hot_hashes(classes: DataFrame) -> set[int]:
 def near_pairs(classes: DataFrame) -> DataFrame:
     """``a, b``: classes (train side, evaluation side) that are not equal but within the limit."""
     prints = cut(fingerprints(classes, hot_hashes(classes)))
-    a = prints.where("train").select(F.col("class_id").alias("a"), F.col("n").alias("na"), F.col("repeats").alias("ra"), "long_family", "g", F.col("at").alias("pa"))
-    b = prints.where("evals").select(F.col("class_id").alias("b"), F.col("n").alias("nb"), F.col("repeats").alias("rb"), "long_family", "g", F.col("at").alias("pb"))
+    a = prints.where("train").select(F.col("class_id").alias("a"), F.col("n").alias("na"), "long_family", "g", F.col("at").alias("pa"))
+    b = prints.where("evals").select(F.col("class_id").alias("b"), F.col("n").alias("nb"), "long_family", "g", F.col("at").alias("pb"))
     longer = F.greatest("na", "nb")
     edits = F.floor(longer * LIMIT_PERCENT / 100)
     seeds = a.join(b, ["long_family", "g"]).where(
         (F.col("a") != F.col("b")) & (F.abs(F.col("na") - F.col("nb")) <= edits) & (F.abs(F.col("pa") - F.col("pb")) <= edits)
     )
-    need_long = F.greatest(F.lit(1), F.ceil((F.col("n") - F.col("e") - (K + WINDOW - 2) * (F.col("e") + 1)) / WINDOW))
-    need_short = F.greatest(F.lit(1), F.col("n") - K_SHORT + 1 - K_SHORT * F.col("e"))
-    grouped = (
-        seeds.groupBy("a", "b", "long_family")
-        .agg(F.count("*").alias("common"), F.max(longer).alias("n"), F.max(edits).alias("e"), F.max(F.col("ra") | F.col("rb")).alias("repeats"))
-        .where(F.col("common") >= F.when(F.col("repeats"), 1).when(F.col("long_family"), need_long).otherwise(need_short))
-        .select("a", "b").distinct()
-    )
+    n, e = F.col("n"), F.floor(F.col("n") * LIMIT_PERCENT / 100)
+    need_long = F.ceil((n - e - (K + WINDOW - 2) * (e + 1)) / WINDOW)
+    need_short = n - K_SHORT + 1 - K_SHORT * e
+    counted = seeds.groupBy("a", "b", "long_family").agg(F.count("*").alias("common"), F.max(longer).alias("n"))
+    enough = F.col("common") >= F.greatest(F.lit(1), F.when(F.col("long_family"), need_long).otherwise(need_short))  # least_seeds
+    grouped = counted.where(enough).select("a", "b").distinct()
     text = classes.select("class_id", "plain")
     both = grouped.join(text.select(F.col("class_id").alias("a"), F.col("plain").alias("ta")), "a").join(
         text.select(F.col("class_id").alias("b"), F.col("plain").alias("tb")), "b"
@@ -191,7 +203,7 @@ def near_pairs(classes: DataFrame) -> DataFrame:
 
 def text_overlaps(rows: DataFrame) -> DataFrame:
     """``train_row, eval_row``: pairs with the same or nearly the same text."""
-    texts = text_classes(rows)
+    texts = cut(text_classes(rows))
     grouped = texts.groupBy("key").agg(
         F.min("row_idx").alias("class_id"), F.first("plain").alias("plain"), F.max("is_train").alias("train"), F.max(~F.col("is_train")).alias("evals")
     )
