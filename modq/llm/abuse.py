@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .base import map_batches, spread
-from .lookalike import _TO_LATIN, plain_form
+from .lookalike import _TO_ARABIC, _TO_LATIN, plain_form
 from .words import _dropped
 
 SAMPLE_ROWS = 40_000
@@ -34,10 +34,10 @@ CHAIN = ("insult", "threat", "identity_attack", "obscene", "sexual_explicit", "s
 FINAL = "abusive"
 FOLDS = 3
 MOST_WORDS = 3
-THRESHOLD = 0.45
-RIDGE = 0.5
+THRESHOLD = 0.5
+RIDGE = 1.0
 #: An n-gram needs so many labelled rows, and so many standard deviations more of them than chance gives.
-LEAST_HITS, LEAST_EXCESS = 4, 3.0
+LEAST_HITS, LEAST_EXCESS = 5, 4.0
 
 _REPEATED = re.compile(r"(.)\1{2,}")
 _DIGIT_IN_WORD = re.compile(r"(?<=[a-z])[013457$@!](?=[a-z])")
@@ -55,7 +55,7 @@ def score_words(text: str | None, slots: dict[str, str]) -> list[str]:
     if text.isascii():
         t = text.lower()
     else:
-        t = _MARKS.sub("", plain_form(text).translate(_TO_LATIN)).casefold()
+        t = _MARKS.sub("", plain_form(text).translate(_TO_LATIN).translate(_TO_ARABIC)).casefold()
     t = _DIGIT_IN_WORD.sub(lambda m: _LEET[m.group()], t)
     if "*" in t:
         t = re.sub(r"(?<=\w)\*+(?=\w)", "", t)  # masked letters stay visible
