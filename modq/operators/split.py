@@ -22,14 +22,20 @@ class SplitConfig:
             raise ValueError("fractions must lie in (0, 1) and leave a share for test")
 
 
+def _keyed(df: DataFrame, text: str, order: str) -> DataFrame:
+    """The rows with ``group_key``: the normalised text, computed once, or a key of their own."""
+    with_norm = df.withColumn("group_key", normalize_text(F.col(text)))
+    alone = F.concat(F.lit("__empty__"), F.col(order).cast("string"))
+    return with_norm.withColumn("group_key", F.when(F.col("group_key") == "", alone).otherwise(F.col("group_key")))
+
+
 def split_groups(df: DataFrame, config: SplitConfig = SplitConfig(), text: str = "text", score: str = "toxicity", order: str = "row_idx") -> DataFrame:
     """``group_key, stratum, split``: every group of equal normalised text in one split, each stratum in the given shares.
 
     Texts that normalise to nothing are groups of their own.  Membership follows a seeded hash of the group, so it does not depend
     on partitioning; a stratum's ranks are computed in buckets of that hash.
     """
-    norm = normalize_text(F.col(text))
-    keyed = df.select(F.when(norm == "", F.concat(F.lit("__empty__"), F.col(order).cast("string"))).otherwise(norm).alias("group_key"), F.col(score).alias("s"))
+    keyed = _keyed(df, text, order).select("group_key", F.col(score).alias("s"))
     groups = keyed.where("group_key IS NOT NULL").groupBy("group_key").agg((F.coalesce(F.max("s"), F.lit(0.0)) >= 0.5).cast("int").alias("stratum"))
     hashed = groups.withColumn("h", F.sha2(F.concat_ws("|", "group_key", F.lit(str(config.seed))), 256))
     ranked = rank_in_group(hashed, ["stratum"], F.left("h", F.lit(3)), [F.col("h"), F.col("group_key")])
@@ -43,6 +49,4 @@ def split_groups(df: DataFrame, config: SplitConfig = SplitConfig(), text: str =
 
 def split_rows(df: DataFrame, config: SplitConfig = SplitConfig(), text: str = "text", score: str = "toxicity", order: str = "row_idx") -> DataFrame:
     """The rows with their ``split``."""
-    norm = normalize_text(F.col(text))
-    key = F.when(norm == "", F.concat(F.lit("__empty__"), F.col(order).cast("string"))).otherwise(norm)
-    return df.withColumn("group_key", key).join(split_groups(df, config, text, score, order).select("group_key", "split"), "group_key").drop("group_key")
+    return _keyed(df, text, order).join(split_groups(df, config, text, score, order).select("group_key", "split"), "group_key").drop("group_key")

@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
+from pyspark import StorageLevel
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
+from pyspark.ml.feature import CountVectorizerModel
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.linalg import Vectors, VectorUDT
+from pyspark.ml.linalg import SparseVector, VectorUDT
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,30 +19,27 @@ from .config import TextModel
 TOKEN = r"[\\p{L}\\p{N}_]{2,}"
 
 
-def term_counts(docs: DataFrame, config: TextModel = TextModel()) -> DataFrame:
-    """``id, term, tf``: one- and two-word terms per document."""
-    words = F.expr(f"regexp_extract_all(lower(text), '{TOKEN}', 0)")
+def with_terms(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``terms``: one- and two-word terms in order; null text has none."""
+    words = F.expr(f"regexp_extract_all(lower(coalesce(text, '')), '{TOKEN}', 0)")
     pairs = F.expr("transform(slice(w, 2, size(w)), (x, i) -> concat(w[i], ' ', x))")
-    terms = docs.where("text IS NOT NULL").select("id", words.alias("w")).select("id", F.explode(F.concat("w", pairs)).alias("term"))
-    return terms.groupBy("id", "term").agg(F.count("*").alias("tf"))
+    return docs.withColumn("w", words).withColumn("terms", F.concat("w", pairs)).drop("w")
 
 
 def vocabulary(docs: DataFrame, config: TextModel = TextModel()) -> DataFrame:
-    """``term, df, cf, idf``: the most frequent terms of the training documents within the document frequency bounds."""
-    n = docs.count()
-    t = config.tfidf
-    stats = term_counts(docs, config).groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
+    """``term, df, cf, idf``: the most frequent terms of the training documents within the document frequency bounds.
+
+    Counts are combined before the one shuffle by term; documents themselves are not shuffled.
+    """
+    n, t = docs.count(), config.tfidf
+    terms = with_terms(docs.where("text IS NOT NULL")).select("terms")
+    in_docs = terms.select(F.explode(F.array_distinct("terms")).alias("term"), F.lit(1).alias("df"), F.lit(0).alias("cf"))
+    in_all = terms.select(F.explode("terms").alias("term"), F.lit(0).alias("df"), F.lit(1).alias("cf"))
+    stats = in_docs.unionByName(in_all).groupBy("term").agg(F.sum("df").alias("df"), F.sum("cf").alias("cf"))
     kept = stats.where((F.col("df") >= t.min_df) & (F.col("df") <= F.lit(t.max_df * n))).orderBy(F.desc("cf"), "term").limit(t.max_features)
     return kept.withColumn("idf", F.log((1.0 + n) / (1.0 + F.col("df"))) + 1.0)
 
 
-def term_weights(docs: DataFrame, vocab: DataFrame) -> DataFrame:
-    """``id, term, weight``: (1 + ln tf) * idf, each document scaled to length one; ``vocab`` is bounded by max_features."""
-    raw = term_counts(docs).join(F.broadcast(vocab.select("term", "idf")), "term").withColumn("w", (1 + F.log("tf")) * F.col("idf"))
-    norms = raw.groupBy("id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return raw.join(norms, "id").select("id", "term", (F.col("w") / F.col("norm")).alias("weight"))
-
-
 @dataclass
 class TermModel:
     """Fitted vocabulary (bounded by ``max_features``) and regression."""
@@ -47,19 +47,24 @@ class TermModel:
     terms: list[tuple[str, float]]
     regression: LogisticRegressionModel
 
-    def vocabulary(self, spark: SparkSession) -> DataFrame:
-        return spark.createDataFrame([(t, w, k) for k, (t, w) in enumerate(self.terms)], "term string, idf double, position int")
-
     def features(self, docs: DataFrame) -> DataFrame:
-        """``docs`` with ``features``; documents without any term get the zero vector."""
-        vocab, size = self.vocabulary(docs.sparkSession), len(self.terms)
-        weights = term_weights(docs, vocab).join(F.broadcast(vocab.select("term", "position")), "term")
-        packed = weights.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("position", "weight"))).alias("terms"))  # the terms of one text
-        vector = F.udf(lambda ts: Vectors.sparse(size, [(t["position"], t["weight"]) for t in ts or ()]), VectorUDT())
-        return docs.join(packed, "id", "left").withColumn("features", vector("terms")).drop("terms")
+        """``docs`` with ``features``: (1 + ln tf) * idf at length one; documents without any term get the zero vector.
+
+        Counting runs in the JVM; only the sparse vectors of counts pass through Python for their weights.
+        """
+        idf = np.array([w for _, w in self.terms])
+
+        def weigh(counts: SparseVector) -> SparseVector:
+            w = (1.0 + np.log(counts.values)) * idf[counts.indices]
+            return SparseVector(counts.size, counts.indices, w / np.sqrt(w @ w) if len(w) else w)
+
+        if not self.terms:
+            return docs.withColumn("features", F.udf(lambda: SparseVector(1, [], []), VectorUDT())())
+        counter = CountVectorizerModel.from_vocabulary([t for t, _ in self.terms], inputCol="terms", outputCol="counts")
+        return counter.transform(with_terms(docs)).withColumn("features", F.udf(weigh, VectorUDT())("counts")).drop("terms", "counts")
 
     def save(self, folder: str, spark: SparkSession) -> None:
-        self.vocabulary(spark).write.mode("overwrite").parquet(f"{folder}/vocabulary")
+        spark.createDataFrame([(t, w, k) for k, (t, w) in enumerate(self.terms)], "term string, idf double, position int").write.mode("overwrite").parquet(f"{folder}/vocabulary")
         self.regression.write().overwrite().save(f"{folder}/regression")
 
     @staticmethod
@@ -84,7 +89,11 @@ def fit(docs: DataFrame, config: TextModel = TextModel()) -> TermModel:
         regParam=1 / (config.logistic_regression.C * max(sum(weight[k] * c for k, c in per.items()), 1.0)), standardization=False,
     )
     blank = TermModel(terms, None)
-    return TermModel(terms, model.fit(blank.features(docs).withColumn("row_weight", of_row)))
+    rows = blank.features(docs).select("features", "y", of_row.alias("row_weight")).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return TermModel(terms, model.fit(rows))
+    finally:
+        rows.unpersist()
 
 
 def predict(model: TermModel, docs: DataFrame, threshold: float = 0.5, name: str = "terms-regression", version: str = "v1") -> DataFrame:
