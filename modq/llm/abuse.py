@@ -39,7 +39,7 @@ RIDGE = 1.0
 #: An n-gram needs so many labelled rows, and so many standard deviations more of them than chance gives.
 LEAST_HITS, LEAST_EXCESS = 5, 4.0
 
-_REPEATED = re.compile(r"(.)\1{2,}")
+_REPEATED = re.compile(r"([^\W\d_])\1{2,}")
 _DIGIT_IN_WORD = re.compile(r"(?<=[a-z])[013457$@!](?=[a-z])")
 # fixed values: signs written for letters
 _LEET = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "$": "s", "@": "a", "!": "i"}
@@ -100,6 +100,25 @@ def _labels(rows: list) -> dict[str, np.ndarray]:
     return out
 
 
+def _present(ws: list[str], known: "dict | set", firsts: set[str]) -> set[str]:
+    """The known n-grams of a text; words that begin none of them cost one lookup."""
+    found = set()
+    for k, w in enumerate(ws):
+        if w in firsts:
+            gram = w
+            if gram in known:
+                found.add(gram)
+            for x in ws[k + 1 : k + MOST_WORDS]:
+                gram = f"{gram} {x}"
+                if gram in known:
+                    found.add(gram)
+    return found
+
+
+def _firsts(grams: "dict | set") -> set[str]:
+    return {g.split(" ", 1)[0] for g in grams}
+
+
 def choose_features(lists: list[list[str]], y: np.ndarray) -> dict[str, int]:
     """N-grams with a clear excess of labelled rows, then those that lower the rate among rows that have one of these."""
     known = np.flatnonzero(~np.isnan(y))
@@ -109,14 +128,16 @@ def choose_features(lists: list[list[str]], y: np.ndarray) -> dict[str, int]:
         hits.update(ngrams(lists[i]))
     hits = Counter({g: c for g, c in hits.items() if c >= LEAST_HITS})
     total: Counter = Counter()
+    firsts = _firsts(hits)
     for i in known:
-        total.update(g for g in ngrams(lists[i]) if g in hits)
+        total.update(_present(lists[i], hits, firsts))
 
     def excess(p: int, n: int, rate: float) -> float:
         return (p - n * rate) / math.sqrt(n * rate * (1 - rate) + 1)
 
     up = {g for g, p in hits.items() if excess(p, total[g], base) >= LEAST_EXCESS and p / total[g] >= max(0.3, 2 * base)}
-    near = [i for i in known if not up.isdisjoint(ngrams(lists[i]))]
+    firsts = _firsts(up)
+    near = [i for i in known if _present(lists[i], up, firsts)]
     rate = float(np.clip(y[near].mean(), 1e-3, 0.999)) if near else 0.5
     n_near, p_near = Counter(), Counter()
     for i in near:
@@ -137,7 +158,7 @@ class Linear:
     def logit(self, rid: np.ndarray, ind: np.ndarray, n: int, dense: np.ndarray) -> np.ndarray:
         return np.bincount(rid, weights=self.w[ind], minlength=n) + dense @ self.d + self.b
 
-    def fit(self, rid: np.ndarray, ind: np.ndarray, dense: np.ndarray, y: np.ndarray, use: np.ndarray, steps: int = 120) -> "Linear":
+    def fit(self, rid: np.ndarray, ind: np.ndarray, dense: np.ndarray, y: np.ndarray, use: np.ndarray, steps: int = 80) -> "Linear":
         n, keep = len(y), use[rid]
         r, i, target, weight = rid[keep], ind[keep], np.nan_to_num(y), use.astype(float)
         rate = float(np.clip((target * weight).sum() / max(weight.sum(), 1), 1e-3, 0.999))
@@ -162,27 +183,16 @@ class Chain:
         self.slots, self.features, self.links = slots, features, links
 
     def sparse(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        rid, ind, known, words_known = [], [], self.features, self._words()
+        rid, ind, firsts = [], [], self._words()
         for i, t in enumerate(texts):
-            ws = score_words(t, self.slots)
-            found = set()
-            for k, w in enumerate(ws):
-                if w not in words_known:  # no feature starts with this word
-                    continue
-                gram = w
-                if gram in known:
-                    found.add(known[gram])
-                for x in ws[k + 1 : k + MOST_WORDS]:
-                    gram = f"{gram} {x}"
-                    if gram in known:
-                        found.add(known[gram])
+            found = _present(score_words(t, self.slots), self.features, firsts)
             rid.extend([i] * len(found))
-            ind.extend(found)
+            ind.extend(self.features[g] for g in found)
         return np.array(rid, dtype=np.int64), np.array(ind, dtype=np.int64)
 
     def _words(self) -> set[str]:
         if not hasattr(self, "_first"):
-            self._first = {g.split(" ", 1)[0] for g in self.features}
+            self._first = _firsts(self.features)
         return self._first
 
     def scores(self, texts: list[str | None]) -> dict[str, np.ndarray]:
@@ -202,7 +212,8 @@ def fit_chain(rows: list, slots: dict[str, str]) -> Chain:
     lists = [[sys.intern(w) for w in score_words(r["text"], slots)] for r in rows]
     any_label = np.where(np.isnan(y[FINAL]), np.nan, np.nanmax([np.nan_to_num(y[c]) for c in (*CHAIN, FINAL)], axis=0)) if rows else np.zeros(0)
     features = choose_features(lists, any_label)
-    ind = [sorted(features[g] for g in ngrams(ws) if g in features) for ws in lists]
+    firsts = _firsts(features)
+    ind = [sorted(features[g] for g in _present(ws, features, firsts)) for ws in lists]
     rid = np.repeat(np.arange(len(rows)), [len(x) for x in ind])
     flat = np.array([k for x in ind for k in x], dtype=np.int64)
     fold, links, logits = np.arange(len(rows)) % FOLDS, [], []
@@ -212,7 +223,7 @@ def fit_chain(rows: list, slots: dict[str, str]) -> Chain:
         model = Linear(len(features), dense.shape[1]).fit(rid, flat, dense, y[name], usable)
         z = model.logit(rid, flat, len(rows), dense)
         for f in range(FOLDS):  # out-of-fold log-odds for the links that follow
-            part = Linear(len(features), dense.shape[1]).fit(rid, flat, dense, y[name], usable & (fold != f), steps=80)
+            part = Linear(len(features), dense.shape[1]).fit(rid, flat, dense, y[name], usable & (fold != f), steps=50)
             own = fold == f
             z[own] = part.logit(rid, flat, len(rows), dense)[own]
         links.append((name, model))
