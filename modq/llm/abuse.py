@@ -34,7 +34,7 @@ CHAIN = ("insult", "threat", "identity_attack", "obscene", "sexual_explicit", "s
 FINAL = "abusive"
 FOLDS = 3
 MOST_WORDS = 3
-THRESHOLD = 0.5
+THRESHOLD = 0.3
 RIDGE = 1.0
 #: An n-gram needs so many labelled rows, and so many standard deviations more of them than chance gives.
 LEAST_HITS, LEAST_EXCESS = 5, 4.0
@@ -44,7 +44,7 @@ _DIGIT_IN_WORD = re.compile(r"(?<=[a-z])[013457$@!](?=[a-z])")
 # fixed values: signs written for letters
 _LEET = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "$": "s", "@": "a", "!": "i"}
 _LEET_SIGN = re.compile(r"[013457$@!](?=[a-z])")
-_MASKED = re.compile(r"\w+\*+\w*|\*+\w+")
+_MASKED = re.compile(r"(?<=\w)\*+(?=\w)")
 _MARKS = re.compile("[ً-ْٰـ]")
 
 
@@ -56,10 +56,14 @@ def score_words(text: str | None, slots: dict[str, str]) -> list[str]:
         t = text.lower()
     else:
         t = _MARKS.sub("", plain_form(text).translate(_TO_LATIN).translate(_TO_ARABIC)).casefold()
-    t = _DIGIT_IN_WORD.sub(lambda m: _LEET[m.group()], t)
+    if _LEET_SIGN.search(t):
+        t = _DIGIT_IN_WORD.sub(lambda m: _LEET[m.group()], t)
     if "*" in t:
-        t = re.sub(r"(?<=\w)\*+(?=\w)", "", t)  # masked letters stay visible
-    ws = [_REPEATED.sub(r"\1", w) if len(w) > 3 else w for w in t.translate(_dropped()).split()]
+        t = _MASKED.sub("", t)  # masked letters: what is left stays one word
+    stretched = _REPEATED.search(t) is not None
+    ws = (t.translate(_ascii_dropped()) if t.isascii() else t.translate(_dropped())).split()
+    if stretched:
+        ws = [_REPEATED.sub(r"\1", w) if len(w) > 3 else w for w in ws]
     return [slots.get(w, w) for w in ws]
 
 

@@ -111,25 +111,27 @@ def all_hashes(classes: DataFrame) -> DataFrame:
     def batch(cols: dict[str, list]) -> dict[str, list]:
         lists = [p.split(" ") for p in cols["plain"]]
         h, sizes = word_numbers(lists)
-        out: list[int] = []
-        for n, end in zip(sizes.tolist(), np.cumsum(sizes).tolist()):
-            if n >= LONG:
-                out.extend(np.unique(_hashes(h[end - n : end], K)).tolist())
-        return {"g": out}
+        every = _hashes(h, K)
+        parts = [np.unique(every[end - n : end - K + 1]) for n, end in zip(sizes.tolist(), np.cumsum(sizes).tolist()) if n >= LONG]
+        return {"g": np.concatenate(parts) if parts else np.zeros(0, np.int64)}
 
     return map_batches(classes.select("plain"), batch, "g long")
 
 
-def winnow(g: np.ndarray, hot: np.ndarray) -> np.ndarray:
-    """Positions of the minima of every two neighbouring hashes in the order (hot, hash)."""
-    if len(g) < WINDOW:
-        return np.arange(len(g))
-    rank = np.isin(g, hot).astype(np.int64)
-    first_wins = (rank[:-1] < rank[1:]) | ((rank[:-1] == rank[1:]) & (g[:-1] <= g[1:]))
-    chosen = np.zeros(len(g), bool)
-    chosen[:-1] |= first_wins
-    chosen[1:] |= ~first_wins
-    return np.flatnonzero(chosen)
+def minima(g: np.ndarray, hot: np.ndarray) -> np.ndarray:
+    """Of every two neighbouring hashes, whether the first one is the minimum in the order (hot, hash); ``hot`` is sorted."""
+    if len(g) < 2:
+        return np.zeros(0, bool)
+    rank = hot[np.minimum(np.searchsorted(hot, g), len(hot) - 1)] == g if len(hot) else np.zeros(len(g), bool)
+    return (rank[:-1] < rank[1:]) | ((rank[:-1] == rank[1:]) & (g[:-1] <= g[1:]))
+
+
+def chosen(first_wins: np.ndarray) -> np.ndarray:
+    """Positions that are a minimum of a window of two (all of them where there is no window)."""
+    keep = np.zeros(len(first_wins) + 1, bool)
+    keep[:-1] |= first_wins
+    keep[1:] |= ~first_wins
+    return np.flatnonzero(keep) if len(first_wins) else np.zeros(1, np.int64)
 
 
 def fingerprints(classes: DataFrame, hot: "set[int]") -> DataFrame:
@@ -142,13 +144,14 @@ def fingerprints(classes: DataFrame, hot: "set[int]") -> DataFrame:
         out: dict[str, list] = {c: [] for c in (*names, "n", "g", "at", "g_long", "at_long")}
         lists = [p.split(" ") for p in cols["plain"]]
         h, sizes = word_numbers(lists)
+        every_short, every_long = _hashes(h, K_SHORT), _hashes(h, K)  # of the whole batch; texts take their slices
+        wins, none = minima(every_long, known), np.zeros(0, np.int64)
         for i, (n, end) in enumerate(zip(sizes.tolist(), np.cumsum(sizes).tolist())):
             if edits_allowed(n + n // 5) == 0:  # no longer text within the limit either: only copies
                 continue
-            own = h[end - n : end]
-            short = _hashes(own, K_SHORT) if n < SHORT else np.zeros(0, np.int64)
-            long = _hashes(own, K) if n >= LONG else np.zeros(0, np.int64)
-            at = winnow(long, known)
+            short = every_short[end - n : end - K_SHORT + 1] if n < SHORT else none
+            long = every_long[end - n : end - K + 1] if n >= LONG else none
+            at = chosen(wins[end - n : end - K]) if n >= LONG else none
             for c in names:
                 out[c].append(cols[c][i])
             out["n"].append(n)
