@@ -11,9 +11,9 @@ from . import sqltext as q
 from .functions import schema, text
 from .functions.images import image_status
 from .operators import analysis, dedup, embed, leakage, metrics, split, validate
-from .plans import manifest, ml
-from .plans.prepare import with_ids
-from .sources.readers import expected_counts, table
+from .plans import head, manifest, ml
+from .plans.prepare import dataset_version, with_ids
+from .sources.readers import expected_counts, load_target, table
 from .streaming.dedup import arrivals
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -102,6 +102,17 @@ def label_names(spark, d):
     )
 
 
+@query(f"SELECT content_id AS id, labels.insult AS score, (SELECT max_by(dataset_version, row_idx) FROM {MOD}) AS dataset_version FROM {MOD}")
+def target_rows(spark, d):
+    return load_target(table(spark, d, MOD), "insult").select("id", "score", "dataset_version")
+
+
+@query(f"SELECT source || '@' || split || ':0-' || count(*) AS version FROM {MOD} WHERE source IS NOT NULL GROUP BY source, split")
+def dataset_versions(spark, d):
+    per = table(spark, d, MOD).where("source IS NOT NULL").groupBy("source", "split").agg(F.count("*").alias("n"))
+    return per.select(dataset_version(F.col("source"), F.col("split"), F.col("n")).alias("version"))
+
+
 # contracts and validation
 
 
@@ -482,6 +493,28 @@ def ablation_inputs(spark, d):
     return out.select("id", F.posexplode("fused").alias("pos", "x")).select("id", F.col("pos").cast("long").alias("pos"), r6("x").alias("x"))
 
 
+@query("SELECT vec_id AS id, round(1 / (1 + exp(embedding[1]::DOUBLE - embedding[2]::DOUBLE)), 6) AS p FROM embeddings")
+def softmax_probability(spark, d):
+    e = F.col("embedding")
+    return table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), r6(embed.positive_probability(e[0].cast("double"), e[1].cast("double"))).alias("p"))
+
+
+@query("SELECT vec_id AS id, round((embedding[1]::DOUBLE + embedding[3]::DOUBLE) / 2, 6) AS x FROM embeddings")
+def masked_mean_pooling(spark, d):
+    e = F.col("embedding")
+    tokens, mask = F.array(*[F.slice(e, k, 1) for k in (1, 2, 3)]), F.array(F.lit(1), F.lit(0), F.lit(1))
+    return table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), r6(embed.masked_mean(tokens, mask)[0]).alias("x"))
+
+
+@query()
+def head_scores(spark, d):
+    rows = _halves(spark, d).withColumn("y", (F.col("label") >= 5).cast("int")).withColumn("fused", F.concat("text_emb", "image_emb"))
+    x, y = head.collect_rows(rows.where("label <> 9 AND label <> 0"), "fused", "y")
+    dev_x, dev_y = head.collect_rows(rows.where("label IN (0, 9)"), "fused", "y")
+    model = head.train_head(x, y, dev_x, dev_y, head.HeadConfig(hidden=32, epochs=10))
+    return head.score(rows, model).select("id", r6("probability").alias("probability"))
+
+
 # hashes, model, stream
 
 

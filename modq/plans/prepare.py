@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..checkpoint import cut
@@ -35,8 +35,9 @@ def remediate_splits(rows: DataFrame) -> DataFrame:
     return kept.select(*rows.columns).unionByName(rows.where("split IN ('dev', 'test')"))
 
 
-def dataset_version(name: str, split: str, n: int) -> str:
-    return f"{name}@{split}:0-{n}"
+def dataset_version(name: Column, split: Column, n: Column) -> Column:
+    """``name@split:0-n``."""
+    return F.concat(name, F.lit("@"), split, F.lit(":0-"), n.cast("string"))
 
 
 def with_ids(rows: DataFrame) -> DataFrame:
