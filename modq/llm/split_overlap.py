@@ -11,7 +11,8 @@ number of seeds that any allowed set of edits leaves.
 
 Hot fingerprints: minima are taken in the order (hot, hash); hot hashes are those of more than 1 / ``HOT_SHARE`` of all classes,
 so there are at most HOT_SHARE x hashes per class of them, whatever the size of the data, and the broadcast set is checked against
-``MAX_HOT``.  Copies are collapsed first, so a third of all rows being copies gives one class.
+``MAX_HOT``.  The most frequent hot hashes of a text are not joined on at all, as many as the least number of common seeds
+allows.  Copies are collapsed first, so a third of all rows being copies gives one class.
 
 Defined results: null and blank texts, texts of punctuation only and null splits overlap nothing; a null image path shows no
 picture; rows without ``row_idx`` are left out; empty tables give no rows.  Texts are processed whole.
@@ -19,6 +20,8 @@ picture; rows without ``row_idx`` are left out; empty tables give no rows.  Text
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -134,14 +137,26 @@ def chosen(first_wins: np.ndarray) -> np.ndarray:
     return np.flatnonzero(keep) if len(first_wins) else np.zeros(1, np.int64)
 
 
-def fingerprints(classes: DataFrame, hot: "set[int]") -> DataFrame:
-    """``class_id, train, evals, n, long_family, g, at``: the winnowed hashes of every class of at least seven words."""
-    shared = classes.sparkSession.sparkContext.broadcast(np.array(sorted(hot), dtype=np.int64))
+@lru_cache(maxsize=10_000)
+def spare_seeds(n: int) -> int:
+    """How many seeds of a text of ``n`` words can be left out: any partner within the limit still shares another one."""
+    longest = next(m for m in range(n, 2 * n + 2) if m - edits_allowed(m) > n)  # too long to be a partner
+    return min(least_seeds(m, True) for m in range(n, longest)) - 1
+
+
+def fingerprints(classes: DataFrame, hot: dict[int, int]) -> DataFrame:
+    """``class_id, train, evals, n, long_family, left_out, g, at, spare``: the winnowed hashes of classes of seven words or more.
+
+    ``spare`` marks the most frequent hot hashes of a class, as many (``left_out``) as ``spare_seeds`` allows; the train side
+    does not join on them.
+    """
+    ordered = sorted(hot)
+    shared = classes.sparkSession.sparkContext.broadcast((np.array(ordered, np.int64), np.array([hot[g] for g in ordered], np.int64)))
     names = ("class_id", "train", "evals")
 
     def batch(cols: dict[str, list]) -> dict[str, list]:
-        known = shared.value
-        out: dict[str, list] = {c: [] for c in (*names, "n", "g", "at", "g_long", "at_long")}
+        known, often = shared.value
+        out: dict[str, list] = {c: [] for c in (*names, "n", "left_out", "g", "at", "g_long", "at_long", "spare")}
         lists = [p.split(" ") for p in cols["plain"]]
         h, sizes = word_numbers(lists)
         every_short, every_long = _hashes(h, K_SHORT), _hashes(h, K)  # of the whole batch; texts take their slices
@@ -157,29 +172,37 @@ def fingerprints(classes: DataFrame, hot: "set[int]") -> DataFrame:
             out["n"].append(n)
             out["g"].append(short)
             out["at"].append(np.arange(len(short), dtype=np.int32))
-            out["g_long"].append(long[at])
+            seeds = long[at]
+            spare = np.zeros(len(seeds), bool)
+            if len(known) and len(seeds):
+                k = np.minimum(np.searchsorted(known, seeds), len(known) - 1)
+                count = np.where(known[k] == seeds, often[k], 0)
+                top = np.argsort(-count, kind="stable")[: spare_seeds(n)]
+                spare[top[count[top] > 0]] = True
+            out["g_long"].append(seeds)
             out["at_long"].append(at.astype(np.int32))
+            out["spare"].append(spare)
+            out["left_out"].append(int(spare.sum()))
         return out
 
-    schema = "class_id long, train boolean, evals boolean, n int, g array<long>, at array<int>, g_long array<long>, at_long array<int>"
+    schema = "class_id long, train boolean, evals boolean, n int, left_out int, g array<long>, at array<int>, g_long array<long>, at_long array<int>, spare array<boolean>"
     arrays = map_batches(classes, batch, schema)
-    both = [
-        arrays.select(*names, "n", F.lit(long).alias("long_family"), F.inline(F.arrays_zip(F.col(g).alias("g"), F.col(at).alias("at"))))
-        for long, g, at in ((False, "g", "at"), (True, "g_long", "at_long"))
-    ]
-    return both[0].unionByName(both[1])
+    short = arrays.select(*names, "n", F.lit(False).alias("long_family"), F.lit(0).alias("left_out"), F.inline(F.arrays_zip("g", "at")))
+    long = arrays.select(*names, "n", F.lit(True).alias("long_family"), "left_out", F.inline(F.arrays_zip(F.col("g_long").alias("g"), F.col("at_long").alias("at"), "spare")))
+    return short.withColumn("spare", F.lit(False)).unionByName(long)
 
 
-def hot_hashes(classes: DataFrame) -> set[int]:
+def hot_hashes(classes: DataFrame) -> dict[int, int]:
+    """Hot hashes with the number of classes that have them."""
     n = classes.count()
     hot = all_hashes(classes).groupBy("g").agg(F.count("*").alias("c")).where(F.col("c") > max(50, n // HOT_SHARE))
-    return {r.g for r in hot.orderBy(F.desc("c"), "g").limit(MAX_HOT).select("g").collect()}  # beyond it only the order suffers
+    return {r.g: r.c for r in hot.orderBy(F.desc("c"), "g").limit(MAX_HOT).collect()}  # beyond it only the order suffers
 
 
 def near_pairs(classes: DataFrame) -> DataFrame:
     """``a, b``: classes (train side, evaluation side) that are not equal but within the limit."""
     prints = cut(fingerprints(classes, hot_hashes(classes)))
-    a = prints.where("train").select(F.col("class_id").alias("a"), F.col("n").alias("na"), "long_family", "g", F.col("at").alias("pa"))
+    a = prints.where("train AND NOT spare").select(F.col("class_id").alias("a"), F.col("n").alias("na"), "left_out", "long_family", "g", F.col("at").alias("pa"))
     b = prints.where("evals").select(F.col("class_id").alias("b"), F.col("n").alias("nb"), "long_family", "g", F.col("at").alias("pb"))
     longer = F.greatest("na", "nb")
     edits = F.floor(longer * LIMIT_PERCENT / 100)
@@ -189,8 +212,9 @@ def near_pairs(classes: DataFrame) -> DataFrame:
     n, e = F.col("n"), F.floor(F.col("n") * LIMIT_PERCENT / 100)
     need_long = F.ceil((n - e - (K + WINDOW - 2) * (e + 1)) / WINDOW)
     need_short = n - K_SHORT + 1 - K_SHORT * e
-    counted = seeds.groupBy("a", "b", "long_family").agg(F.count("*").alias("common"), F.max(longer).alias("n"))
-    enough = F.col("common") >= F.greatest(F.lit(1), F.when(F.col("long_family"), need_long).otherwise(need_short))  # least_seeds
+    counted = seeds.groupBy("a", "b", "long_family").agg(F.count("*").alias("common"), F.max(longer).alias("n"), F.max("left_out").alias("left_out"))
+    need = F.when(F.col("long_family"), need_long).otherwise(need_short) - F.col("left_out")  # least_seeds
+    enough = F.col("common") >= F.greatest(F.lit(1), need)
     grouped = counted.where(enough).select("a", "b").distinct()
     text = classes.select("class_id", "plain")
     both = grouped.join(text.select(F.col("class_id").alias("a"), F.col("plain").alias("ta")), "a").join(
