@@ -16,6 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.sample import bounded_sample
 from ..ship import ship
 
 MOST_ROWS = 200_000
@@ -114,9 +115,10 @@ def train_head(
 
 
 def collect_rows(df: DataFrame, vector: str, label: str, order: str = "id", most: int = MOST_ROWS) -> tuple[np.ndarray, np.ndarray]:
-    """Vectors and labels of a bounded number of rows, the first by seeded hash."""
-    rows = df.where(F.col(vector).isNotNull() & F.col(label).isin(0, 1)).orderBy(F.xxhash64(F.lit(1), order), order).limit(most).select(vector, label).collect()
-    return np.array([r[0] for r in rows], dtype=np.float64), np.array([r[1] for r in rows], dtype=np.int64)
+    """Vectors and labels of a bounded number of rows, chosen by seeded hash and put in order."""
+    usable = df.where(F.col(vector).isNotNull() & F.col(label).isin(0, 1)).select(order, vector, label)
+    rows = sorted(bounded_sample(usable, order, most, 1).collect(), key=lambda r: r[0])[:most]
+    return np.array([r[1] for r in rows], dtype=np.float64), np.array([r[2] for r in rows], dtype=np.int64)
 
 
 def score(df: DataFrame, head: Head, vector: str = "fused", name: str = "probability") -> DataFrame:
