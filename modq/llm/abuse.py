@@ -6,8 +6,7 @@ learns to trust them only as far as they hold on unseen rows.  The last link, tr
 hate label of the other, gives a row's score.  Labels are noisy; n-grams count only with a clear excess of labelled rows, and
 n-grams of quoting, reporting or harmless use are those that lower the rate among rows that have an abusive n-gram.
 
-The models are fitted on the driver on a bounded sample: the ``SAMPLE_ROWS`` labelled rows of each table with the smallest seeded
-hash.  Scoring is one narrow pass over all rows.
+The models are fitted on the driver on a bounded sample: ``SAMPLE_ROWS`` labelled rows of each table, chosen by a seeded hash.  Scoring is one narrow pass over all rows.
 
 Defined results: null and blank texts score 0; labels that are null, NaN or out of range are not used for fitting; without any
 labelled row every text scores 0; repeated rows score alike.  Texts are scored whole.
@@ -25,6 +24,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.sample import bounded_sample
 from .base import map_batches, spread
 from .lookalike import _TO_ARABIC, _TO_LATIN, plain_form
 from .words import _dropped
@@ -82,16 +82,19 @@ def ngrams(ws: list[str]) -> set[str]:
 
 def word_slots(lexicon: DataFrame) -> dict[str, str]:
     """One-word terms of the word list by category, the list being small and fixed; names of persons are left out."""
-    rows = lexicon.where("term IS NOT NULL AND category IN ('group_name')").select("term", "category").limit(10_000).collect()
+    rows = lexicon.where("term IS NOT NULL AND category IN ('group_name')").select("term", "category").collect()
     return {ws[0]: f"<{r.category}>" for r in rows if len(ws := score_words(r.term, {})) == 1}
 
 
 def sample_rows(moderation: DataFrame, multimodal: DataFrame, rows: int = SAMPLE_ROWS) -> list:
     """``text`` and labels of the bounded training sample."""
-    labelled = moderation.where("text IS NOT NULL AND labels IS NOT NULL")
-    first = labelled.select("text", *[F.col(f"labels.{c}").alias(c) for c in CHAIN], F.lit(None).cast("int").alias("hate"), F.xxhash64(F.lit(7), "row_idx").alias("h"))
-    second = multimodal.where("text IS NOT NULL AND hate_label IN (0, 1)").select("text", *[F.lit(None).cast("double").alias(c) for c in CHAIN], F.col("hate_label").alias("hate"), F.xxhash64(F.lit(7), "row_idx").alias("h"))
-    return [*first.orderBy("h", "text").limit(rows).collect(), *second.orderBy("h", "text").limit(rows).collect()]
+    first = moderation.where("text IS NOT NULL AND labels IS NOT NULL").select("row_idx", "text", *[F.col(f"labels.{c}").alias(c) for c in CHAIN], F.lit(None).cast("int").alias("hate"))
+    second = multimodal.where("text IS NOT NULL AND hate_label IN (0, 1)").select("row_idx", "text", *[F.lit(None).cast("double").alias(c) for c in CHAIN], F.col("hate_label").alias("hate"))
+    out = []
+    for part in (first, second):
+        own = bounded_sample(part, "row_idx", rows, 7).collect()
+        out += sorted(own, key=lambda r: (r.row_idx is None, r.row_idx, r.text))[:rows]
+    return out
 
 
 def _labels(rows: list) -> dict[str, np.ndarray]:

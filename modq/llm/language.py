@@ -5,7 +5,7 @@ binary n-gram classifier per bit predicts that bit, and loss-weighted decoding c
 bits cost the least logistic loss.  A small gap to the second nearest flags ambiguity.  Margins add up over words, so the same
 classifiers score every word; a Viterbi pass with a price for changing finds the segments of mixed texts.
 
-The classifiers are fitted on the driver on a bounded sample (``SAMPLE_ROWS`` labelled rows with the smallest seeded hash) in
+The classifiers are fitted on the driver on a bounded sample (``SAMPLE_ROWS`` labelled rows chosen by a seeded hash) in
 two rounds; rows whose label contradicts the first round clearly are left out of the second, as labels are partly wrong.
 
 Defined results: null and blank texts and texts without words have no language; handles, hashtags and emoji are no words; a
@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.sample import bounded_sample
 from .abuse import _MARKS
 from .base import nonblank, spread
 from .lookalike import _TO_ARABIC, _TO_LATIN, plain_form
@@ -236,8 +237,9 @@ def fit_coder(rows: list[tuple[str, str]]) -> Coder | None:
 
 
 def train(rows: DataFrame, n: int = SAMPLE_ROWS) -> Coder | None:
-    labelled = rows.where(nonblank("text")).select("text", label_code(F.col("lang")).alias("code"), F.xxhash64(F.lit(SEED), "row_idx").alias("h")).where("code IS NOT NULL")
-    return fit_coder([(r.text, r.code) for r in labelled.orderBy("h", "text").limit(n).collect()])
+    labelled = rows.where(nonblank("text")).select("row_idx", "text", label_code(F.col("lang")).alias("code")).where("code IS NOT NULL")
+    own = bounded_sample(labelled, "row_idx", n, SEED).collect()
+    return fit_coder([(r.text, r.code) for r in sorted(own, key=lambda r: (r.row_idx is None, r.row_idx, r.text))[:n]])
 
 
 def detect(rows: DataFrame, coder: Coder | None, id_col: str = "row_idx") -> DataFrame:
