@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 from . import abuse, language, layout_copies, leak_search, lookalike, mixing, mojibake, pii, shared_spans, split_overlap
 from .base import read_table
+from .oracles import ORACLE_SQL
+
+__all__ = ["ORACLE_SQL", "QUERIES"]
 
 Query = Callable[[SparkSession, str], DataFrame]
 

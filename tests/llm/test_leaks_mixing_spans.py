@@ -132,3 +132,22 @@ def test_pairs_and_shares_agree_with_brute_force(spark, monkeypatch, hot):
         covered = {p for k in range(len(t) - 249) if t[k : k + 250] in others for p in range(k, k + 250)}
         assert share[i] == len(covered)
     assert ss.sharing_pairs(df.where("false")).count() == 0
+
+
+def test_queries_with_sql_agree_with_it(spark):
+    from pathlib import Path
+
+    import duckdb
+
+    from modq.llm import queries as q
+
+    data = Path("/root/testdata/sf0.001")
+    if not data.exists():
+        pytest.skip("no test tables")
+    con = duckdb.connect()
+    for p in data.glob("*.parquet"):
+        con.execute(f"CREATE VIEW {p.stem} AS SELECT * FROM '{p}'")
+    for name, sql in q.ORACLE_SQL.items():
+        got = q.QUERIES[name](spark, str(data)).toPandas()
+        want = con.sql(sql).df()[list(got.columns)]
+        assert sorted(map(tuple, got.values.tolist())) == sorted(map(tuple, want.values.tolist())), name
