@@ -34,7 +34,7 @@ WINDOW = 5
 LEAST_SEGMENT = 5
 BITS = 15
 BUCKETS = 1 << 16
-CHANGE = 14.0
+CHANGE = 18.0
 RIDGE = 0.3
 MOST_SAY = 8.0
 AMBIGUOUS = 2.0
@@ -171,7 +171,7 @@ class Coder:
         return out
 
 
-def _fit(ids: np.ndarray, starts: np.ndarray, target: np.ndarray, vocab: list[str], code: np.ndarray, steps: int = 90) -> Coder:
+def _fit(ids: np.ndarray, starts: np.ndarray, target: np.ndarray, vocab: list[str], code: np.ndarray, steps: int = 50) -> Coder:
     """Bit classifiers over windows of words: ``ids`` are the windows' words one after the other, ``starts`` their begins."""
     feats = [word_features(w) for w in vocab]
     sizes = np.array([len(f) for f in feats])
