@@ -17,6 +17,7 @@ from __future__ import annotations
 import math
 import re
 import sys
+import unicodedata
 from collections import Counter
 from functools import lru_cache
 
@@ -26,10 +27,10 @@ from pyspark.sql import functions as F
 
 from ..operators.sample import bounded_sample
 from .base import map_batches, spread
-from .lookalike import _TO_ARABIC, _TO_LATIN, plain_form
+from .lookalike import _FOLD, _SPACE, _TO_ARABIC, _TO_LATIN, _UNSEEN
 from .words import _dropped
 
-SAMPLE_ROWS = 40_000
+SAMPLE_ROWS = 30_000
 CHAIN = ("insult", "threat", "identity_attack", "obscene", "sexual_explicit", "severe_toxicity", "toxicity")
 FINAL = "abusive"
 FOLDS = 3
@@ -45,6 +46,7 @@ _DIGIT_IN_WORD = re.compile(r"(?<=[a-z])[013457$@!](?=[a-z])")
 _LEET = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "$": "s", "@": "a", "!": "i"}
 _LEET_SIGN = re.compile(r"[013457$@!](?=[a-z])")
 _MASKED = re.compile(r"(?<=\w)\*+(?=\w)")
+_ACCENT = re.compile("[\u0300-\u036f]")
 _MARKS = re.compile("[ً-ْٰـ]")
 
 
@@ -55,7 +57,8 @@ def score_words(text: str | None, slots: dict[str, str]) -> list[str]:
     if text.isascii():
         t = text.lower()
     else:
-        t = _MARKS.sub("", plain_form(text).translate(_TO_LATIN).translate(_TO_ARABIC)).casefold()
+        t = text.translate(_one_form())
+        t = (unicodedata.normalize("NFC", t) if _ACCENT.search(t) else t).casefold()
     if _LEET_SIGN.search(t):
         t = _DIGIT_IN_WORD.sub(lambda m: _LEET[m.group()], t)
     if "*" in t:
@@ -67,6 +70,21 @@ def score_words(text: str | None, slots: dict[str, str]) -> list[str]:
     return [slots.get(w, w) for w in ws]
 
 
+@lru_cache(maxsize=1)
+def _one_form() -> dict[int, str | None]:
+    """One table for all: compatibility forms folded, invisible characters and vowel marks dropped, look-alikes replaced."""
+    table: dict[int, str | None] = {}
+    for cp in range(0x80, 0x10000):
+        c = chr(cp)
+        if _FOLD.match(c):
+            table[cp] = unicodedata.normalize("NFKC", c)
+        elif _SPACE.match(c):
+            table[cp] = " "
+        elif _MARKS.match(c) or _UNSEEN.match(c):
+            table[cp] = None
+    return {**table, **{k: chr(v) for k, v in (*_TO_LATIN.items(), *_TO_ARABIC.items())}}
+
+
 @lru_cache(maxsize=1)
 def _ascii_dropped() -> dict[int, None]:
     return {cp: None for cp in _dropped() if cp < 128}
