@@ -43,6 +43,7 @@ TITLES = ("mr", "mrs", "ms", "miss", "dr", "prof", "mme", "mlle", "herr", "frau"
 
 _WORD = re.compile(r"[A-Za-zÀ-ÿ]+(?:[-'’][A-Za-zÀ-ÿ]+)*")
 _CUE = re.compile(r"\d|@|[(\[]\s?at\s?[)\]]|\bat \S+ dot\b|\b[A-Z]\. ?[A-Za-zÀ-ÿ]", re.IGNORECASE)
+_PAIR = re.compile(r"[A-ZÀ-Þ][A-Za-zÀ-ÿ'’\-]+[^A-Za-zÀ-ÿ]{1,2}[A-ZÀ-Þ]")
 _SPACES = re.compile("  +")
 _LINE_ENDS = {9: " ", 10: " ", 13: " "}
 
@@ -207,17 +208,24 @@ def default_model() -> BiLstmCrf:
     return BiLstmCrf.load(Path(__file__).parent / "models" / "pii.npz")
 
 
+@lru_cache(maxsize=4)
+def _name_cues(given: frozenset[str]) -> frozenset[str]:
+    return given | frozenset(TITLES)
+
+
 def cue_stretches(text: str, given: frozenset[str], common: frozenset[str]) -> list[tuple[int, int]]:
     """Stretches of a plain text around its cues."""
     at = [m.start() for m in _CUE.finditer(text)]
-    last_end, last_strange = -9, False
-    for m in _WORD.finditer(text):
-        w = m.group()
-        low = w.lower()
-        strange = w[0].isupper() and low not in common and len(w) > 2
-        if low in given or low in TITLES or strange and last_strange and m.start() - last_end <= 2:
-            at.append(m.start())
-        last_end, last_strange = m.end(), strange
+    names = _name_cues(given)
+    if _PAIR.search(text) or not names.isdisjoint(map(str.lower, _WORD.findall(text))):  # else the words hold no cue
+        last_end, last_strange = -9, False
+        for m in _WORD.finditer(text):
+            w = m.group()
+            low = w.lower()
+            strange = w[0].isupper() and low not in common and len(w) > 2
+            if low in names or strange and last_strange and m.start() - last_end <= 2:
+                at.append(m.start())
+            last_end, last_strange = m.end(), strange
     if not at:
         return []
     out: list[list[int]] = []
