@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..checkpoint import cut
 from ..functions.text import normalize_text
+from ..spread import spread
 
 
 def keep_first(df: DataFrame, key: str, order: str = "row_idx") -> DataFrame:
@@ -49,7 +50,7 @@ def greedy_keep(df: DataFrame, keys: tuple[str, str] = ("content_id", "text"), o
 
 def near_groups(df: DataFrame, text: str = "text") -> DataFrame:
     """Number of groups of equal normalised text and of the rows in them; empty normalised text is a group too."""
-    sizes = df.where(F.col(text).isNotNull()).select(normalize_text(F.col(text)).alias("norm")).groupBy("norm").agg(F.count("*").alias("n")).where("n > 1")
+    sizes = spread(df.where(F.col(text).isNotNull()).select(text)).select(normalize_text(F.col(text)).alias("norm")).groupBy("norm").agg(F.count("*").alias("n")).where("n > 1")
     return sizes.agg(F.count("*").alias("groups"), F.coalesce(F.sum("n"), F.lit(0)).alias("examples"))
 
 

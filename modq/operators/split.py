@@ -7,7 +7,9 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..checkpoint import cut
 from ..functions.text import normalize_text
+from ..spread import spread
 from .rank import rank_in_group
 
 
@@ -23,8 +25,11 @@ class SplitConfig:
 
 
 def _keyed(df: DataFrame, text: str, order: str) -> DataFrame:
-    """The rows with ``group_key``: the normalised text, computed once, or a key of their own."""
-    with_norm = df.withColumn("group_key", normalize_text(F.col(text)))
+    """The rows with ``group_key``: the normalised text, or a key of their own.
+
+    Rows without text are left out before, as a filter on the key would be pushed down and compute it twice.
+    """
+    with_norm = spread(df).withColumn("group_key", normalize_text(F.col(text)))
     alone = F.concat(F.lit("__empty__"), F.col(order).cast("string"))
     return with_norm.withColumn("group_key", F.when(F.col("group_key") == "", alone).otherwise(F.col("group_key")))
 
@@ -35,9 +40,11 @@ def split_groups(df: DataFrame, config: SplitConfig = SplitConfig(), text: str =
     Texts that normalise to nothing are groups of their own.  Membership follows a seeded hash of the group, so it does not depend
     on partitioning; a stratum's ranks are computed in buckets of that hash.
     """
-    keyed = _keyed(df, text, order).select("group_key", F.col(score).alias("s"))
-    groups = keyed.where("group_key IS NOT NULL").groupBy("group_key").agg((F.coalesce(F.max("s"), F.lit(0.0)) >= 0.5).cast("int").alias("stratum"))
+    keyed = _keyed(df.where(F.col(text).isNotNull()), text, order).select("group_key", F.col(score).alias("s"))
+    groups = keyed.groupBy("group_key").agg((F.coalesce(F.max("s"), F.lit(0.0)) >= 0.5).cast("int").alias("stratum"))
     hashed = groups.withColumn("h", F.sha2(F.concat_ws("|", "group_key", F.lit(str(config.seed))), 256))
+    hashed = cut(hashed)  # read three times below
+    groups = hashed
     ranked = rank_in_group(hashed, ["stratum"], F.left("h", F.lit(3)), [F.col("h"), F.col("group_key")])
     sizes = groups.groupBy("stratum").agg(F.count("*").alias("n"))  # two rows
     n = F.col("n")

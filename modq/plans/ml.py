@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.metrics import at_least
+from ..spread import spread
 from .config import TextModel
 
 TOKEN = r"[\\p{L}\\p{N}_]{2,}"
@@ -22,7 +23,8 @@ TOKEN = r"[\\p{L}\\p{N}_]{2,}"
 def with_terms(docs: DataFrame) -> DataFrame:
     """``docs`` with ``terms``: one- and two-word terms in order; null text has none."""
     words = F.expr(f"regexp_extract_all(lower(coalesce(text, '')), '{TOKEN}', 0)")
-    pairs = F.expr("transform(slice(w, 2, size(w)), (x, i) -> concat(w[i], ' ', x))")
+    # no word array inside a lambda: the optimiser would extract the words anew for every element
+    pairs = F.expr("zip_with(slice(w, 1, greatest(size(w) - 1, 0)), slice(w, 2, size(w)), (a, b) -> concat(a, ' ', b))")
     return docs.withColumn("w", words).withColumn("terms", F.concat("w", pairs)).drop("w")
 
 
@@ -32,7 +34,7 @@ def vocabulary(docs: DataFrame, config: TextModel = TextModel()) -> DataFrame:
     Counts are combined before the one shuffle by term; documents themselves are not shuffled.
     """
     n, t = docs.count(), config.tfidf
-    terms = with_terms(docs.where("text IS NOT NULL")).select("terms")
+    terms = with_terms(spread(docs.where("text IS NOT NULL").select("text"))).select("terms")
     in_docs = terms.select(F.explode(F.array_distinct("terms")).alias("term"), F.lit(1).alias("df"), F.lit(0).alias("cf"))
     in_all = terms.select(F.explode("terms").alias("term"), F.lit(0).alias("df"), F.lit(1).alias("cf"))
     stats = in_docs.unionByName(in_all).groupBy("term").agg(F.sum("df").alias("df"), F.sum("cf").alias("cf"))
@@ -89,7 +91,7 @@ def fit(docs: DataFrame, config: TextModel = TextModel()) -> TermModel:
         regParam=1 / (config.logistic_regression.C * max(sum(weight[k] * c for k, c in per.items()), 1.0)), standardization=False,
     )
     blank = TermModel(terms, None)
-    rows = blank.features(docs).select("features", "y", of_row.alias("row_weight")).persist(StorageLevel.MEMORY_AND_DISK)
+    rows = blank.features(spread(docs.select("text", "y"))).select("features", "y", of_row.alias("row_weight")).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         return TermModel(terms, model.fit(rows))
     finally:
