@@ -10,13 +10,15 @@ from pyspark.sql import functions as F
 
 #: What counts as whitespace, in the notation of Java's regular expressions.
 SPACE = "\\t-\\r\\x1c-\\x20\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
+#: Space at either end; the look-behind lets long runs inside a text be tried only once.
+_ENDS = f"^[{SPACE}]+|(?<![{SPACE}])[{SPACE}]+$"
 WORD = "\\p{L}\\p{N}_"
 ARABIC = "\\u0600-\\u06ff\\ufb50-\\ufdff\\ufe70-\\ufeff"
 EXCERPT = 100
 
 
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, f"^[{SPACE}]+|[{SPACE}]+$", "")
+    return F.regexp_replace(text, _ENDS, "")
 
 
 def _nfkc(texts: pd.Series) -> pd.Series:
@@ -61,5 +63,5 @@ def check_text(text: Column) -> Column:
 def excerpt(text: Column, most: int = EXCERPT) -> Column:
     """At most ``most`` characters on one line, with dots where it was cut."""
     line = F.replace(strip(text), F.lit("\n"), F.lit(" "))
-    cut = F.regexp_replace(F.substring(line, 1, most), f"[{SPACE}]+$", "")
+    cut = F.regexp_replace(F.substring(line, 1, most), f"(?<![{SPACE}])[{SPACE}]+$", "")
     return F.when(F.length(line) <= most, line).otherwise(F.concat(cut, F.lit("...")))
