@@ -60,8 +60,8 @@ _FOREIGN = re.compile(f"[{FOREIGN}]")
 _VARIANT = re.compile(f"[{LOOKS_ARABIC[0]}{LOOKS_ARABIC[1]}ى]")
 _INSIDE = re.compile(f"[A-Za-z][{FOREIGN}]+[A-Za-z]")
 _LATIN = re.compile("[A-Za-zÀ-ɏ]")
-#: A word of two or more Greek or Cyrillic letters, one of which looks like no Latin letter.
-_OTHER_WORD = re.compile(f"(?=\\w*[^\\W{FOREIGN}A-Za-z0-9_])[\u0370-\u03ff\u0400-\u052f]{{2,}}")
+_GREEK_CYRILLIC = re.compile("[\u0370-\u03ff\u0400-\u052f]{2,}")
+_UNLIKE = re.compile(f"[^{FOREIGN}]")
 _TO_LATIN = str.maketrans(FOREIGN, LATIN_FOR)
 _TO_ARABIC = str.maketrans(*LOOKS_ARABIC)
 _WORD = re.compile(r"\w+")
@@ -157,7 +157,7 @@ def row_words(rows: DataFrame, keys: list[str]) -> DataFrame:
             ruled, found = is_case_by_rule(text), set()
             if _FOREIGN.search(text) or _VARIANT.search(text):
                 clean = _UNSEEN.sub("", text)
-                own = bool(_LATIN.search(clean)) and not _OTHER_WORD.search(clean)
+                own = bool(_LATIN.search(clean)) and not any(map(_UNLIKE.search, _GREEK_CYRILLIC.findall(clean)))
                 for w in _WORD.findall(clean):
                     if _FOREIGN.search(w):
                         if own or _LATIN.search(w):

@@ -43,7 +43,7 @@ TITLES = ("mr", "mrs", "ms", "miss", "dr", "prof", "mme", "mlle", "herr", "frau"
 
 _WORD = re.compile(r"[A-Za-zÀ-ÿ]+(?:[-'’][A-Za-zÀ-ÿ]+)*")
 _CUE = re.compile(r"\d|@|[(\[]\s?at\s?[)\]]|\bat \S+ dot\b|\b[A-Z]\. ?[A-Za-zÀ-ÿ]", re.IGNORECASE)
-_PAIR = re.compile(r"[A-ZÀ-Þ][A-Za-zÀ-ÿ'’\-]+[^A-Za-zÀ-ÿ]{1,2}[A-ZÀ-Þ]")
+_PAIR = re.compile(r"\b[A-ZÀ-Þ][A-Za-zÀ-ÿ'’\-]+[^A-Za-zÀ-ÿ]{1,2}[A-ZÀ-Þ]")
 _SPACES = re.compile("  +")
 _LINE_ENDS = {9: " ", 10: " ", 13: " "}
 
