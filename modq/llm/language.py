@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from ..operators.sample import bounded_sample
 from .abuse import _MARKS
-from .base import nonblank, spread
+from .base import map_batches, nonblank, spread
 from .lookalike import _TO_ARABIC, _TO_LATIN, plain_form
 
 SAMPLE_ROWS = 8_000
@@ -270,6 +270,22 @@ def detect(rows: DataFrame, coder: Coder | None, id_col: str = "row_idx") -> Dat
     return spread(some).mapInArrow(run, schema)
 
 
+def segments(rows: DataFrame, coder: Coder | None, id_col: str = "row_idx") -> DataFrame:
+    """``id, first_word, n_words, lang, confidence``: every segment of at least ``LEAST_SEGMENT`` words of every row."""
+    kind = dict(rows.dtypes)[id_col]
+    schema = f"`{id_col}` {kind}, first_word int, n_words int, lang string, confidence double"
+    if coder is None:
+        return rows.sparkSession.createDataFrame([], schema)
+    shared = rows.sparkSession.sparkContext.broadcast((coder.weights.astype(np.float32), coder.bias, coder.code))  # BUCKETS x BITS
+
+    def batch(cols: dict[str, list]) -> dict[str, list]:
+        own = Coder(*shared.value)
+        found = [(key, first, n, CLASSES[k].split("_")[0], conf) for key, text in zip(cols[id_col], cols["text"]) for first, n, k, conf in own.segments(text) if n >= LEAST_SEGMENT]
+        return dict(zip((id_col, "first_word", "n_words", "lang", "confidence"), zip(*found))) if found else {c: [] for c in (id_col, "first_word", "n_words", "lang", "confidence")}
+
+    return map_batches(spread(rows.where(nonblank("text") & F.col(id_col).isNotNull()).select(id_col, "text")), batch, schema)
+
+
 def wrong_labels(found: DataFrame) -> DataFrame:
     """Rows in one language whose label is missing or names another, and every language of mixed rows."""
     return found.where((F.col("n_langs") > 1) | F.col("code").isNull() | (F.col("code") != F.col("lang")))

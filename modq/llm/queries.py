@@ -67,14 +67,19 @@ def p4_flag_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def p5_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+def p5_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read_table(spark, sf_dir, "multimodal_examples").select("row_idx", "text", "lang")
     return language.detect(rows, language.train(rows))
 
 
+def p5_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read_table(spark, sf_dir, "multimodal_examples").select("row_idx", "text", "lang")
+    return language.segments(rows, language.train(rows))
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     garbled = p4_found(spark, sf_dir).select("row_idx")
-    wrong = language.wrong_labels(p5_segments(spark, sf_dir))
+    wrong = language.wrong_labels(p5_languages(spark, sf_dir))
     return wrong.join(garbled, "row_idx", "left_anti").select("row_idx", "lang").distinct()
 
 
@@ -139,4 +144,4 @@ def p10_share(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shared_spans.shared_share(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_report, p2_found, p2_copies, p3_found, p3_redacted, p4_found, p4_flag_coverage, p5_found, p5_segments, p6_found, p6_forms, p7_found, p7_scores, p7_rates, p8_found, p8_items, p9_found, p9_shares, p9_uses, p10_found, p10_spans, p10_share)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_report, p2_found, p2_copies, p3_found, p3_redacted, p4_found, p4_flag_coverage, p5_found, p5_languages, p5_segments, p6_found, p6_forms, p7_found, p7_scores, p7_rates, p8_found, p8_items, p9_found, p9_shares, p9_uses, p10_found, p10_spans, p10_share)}

@@ -79,6 +79,8 @@ def test_language_of_rows_and_segments(spark):
     df = spark.createDataFrame(rows, "row_idx long, text string, lang string").withColumn("code", F.lit(1))
     got = {(r.row_idx, r.lang) for r in language.wrong_labels(language.detect(df, coder)).collect()}
     assert got == {(2, "en"), (3, "fa"), (4, "en"), (4, "ar"), (4, "de"), (8, "es")}
+    parts = {(r.lang, r.n_words >= 5) for r in language.segments(df, coder).where("row_idx = 4").collect()}
+    assert parts == {("en", True), ("ar", True), ("de", True)} and language.segments(df.where("false"), coder).count() == 0
     assert language.detect(df, None).count() == 0 and language.fit_coder([]) is None
 
 
