@@ -213,9 +213,15 @@ def near_pairs(classes: DataFrame) -> DataFrame:
     need_long = F.ceil((n - e - (K + WINDOW - 2) * (e + 1)) / WINDOW)
     need_short = n - K_SHORT + 1 - K_SHORT * e
     counted = seeds.groupBy("a", "b", "long_family").agg(F.count("*").alias("common"), F.max(longer).alias("n"), F.max("left_out").alias("left_out"))
-    need = F.when(F.col("long_family"), need_long).otherwise(need_short) - F.col("left_out")  # least_seeds
-    enough = F.col("common") >= F.greatest(F.lit(1), need)
-    grouped = counted.where(enough).select("a", "b").distinct()
+    need = F.greatest(F.lit(1), F.when(F.col("long_family"), need_long).otherwise(need_short).cast("long"))  # least_seeds
+    counted = cut(counted.withColumn("need", need).where(F.col("common") >= F.greatest(F.lit(1), F.col("need") - F.col("left_out"))))  # read twice
+    # pairs that are short of seeds get those left out counted, at most ``left_out`` a pair
+    short = counted.where("common < need").select("a", "b", "common", "need", "n")
+    spare = prints.where("train AND spare").select(F.col("class_id").alias("a"), "g", F.col("at").alias("pa"))
+    seeds_of_b = prints.where("evals AND long_family").select(F.col("class_id").alias("b"), "g", F.col("at").alias("pb"))
+    near = F.abs(F.col("pa") - F.col("pb")) <= F.floor(F.col("n") * LIMIT_PERCENT / 100)
+    more = short.join(spare, "a").join(seeds_of_b, ["b", "g"]).where(near).groupBy("a", "b").agg(F.count("*").alias("more"), F.max("common").alias("common"), F.max("need").alias("need"))
+    grouped = counted.where("common >= need").select("a", "b").unionByName(more.where("common + more >= need").select("a", "b")).distinct()
     text = classes.select("class_id", "plain")
     both = grouped.join(text.select(F.col("class_id").alias("a"), F.col("plain").alias("ta")), "a").join(
         text.select(F.col("class_id").alias("b"), F.col("plain").alias("tb")), "b"
