@@ -14,6 +14,7 @@ from .operators import analysis, dedup, embed, leakage, metrics, split, validate
 from .plans import head, manifest, ml
 from .plans.prepare import dataset_version, with_ids
 from .sources.readers import expected_counts, load_target, table
+from .spread import spread
 from .streaming.dedup import arrivals
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -61,7 +62,7 @@ def content_id(spark, d):
 
 @query(f"SELECT row_idx, {q.normalize('text')} AS norm FROM {MOD}")
 def normalize_text(spark, d):
-    return table(spark, d, MOD).select("row_idx", text.normalize_text(F.col("text")).alias("norm"))
+    return spread(table(spark, d, MOD).select("row_idx", "text")).select("row_idx", text.normalize_text(F.col("text")).alias("norm"))
 
 
 @query(
