@@ -2,8 +2,8 @@
 
 Method: script-aware repair.  A token's dominant script decides; look-alike letters are substituted only in tokens that
 mix repertoires (or stand alone among words of the other script), and only when the result is a word of the corpus
-vocabulary, which is counted over all rows.  Full-width and presentation forms, separate accents, invisible characters
-and odd spaces have one form by rule.  One pass counts
+vocabulary, which is counted over all rows, by distinct text.  Full-width and presentation forms, separate accents,
+invisible characters and odd spaces have one form by rule.  One pass counts
 the vocabulary, combining within batches; a second one looks only at rows with characters beyond ASCII.
 
 Defined results: null text gives null and is never a case; empty text stays empty; repeated rows repeat; empty tables give
@@ -36,7 +36,7 @@ FOREIGN = "".join(a for a, _ in LOOKS_LATIN.values())
 LATIN_FOR = "".join(b for _, b in LOOKS_LATIN.values())
 #: A form of an Arabic-script word is a look-alike spelling if another spelling of it is this many times as frequent.
 TIMES_AS_FREQUENT = 8
-#: A repaired word must occur at least so often in the corpus.
+#: A word for which a token wholly of look-alike letters stands must occur in at least so many texts.
 LEAST_COUNT = 3
 
 FULL_WIDTH = "！-～｡-ￜ￠-￮"
@@ -60,6 +60,8 @@ _FOREIGN = re.compile(f"[{FOREIGN}]")
 _VARIANT = re.compile(f"[{LOOKS_ARABIC[0]}{LOOKS_ARABIC[1]}ى]")
 _INSIDE = re.compile(f"[A-Za-z][{FOREIGN}]+[A-Za-z]")
 _LATIN = re.compile("[A-Za-zÀ-ɏ]")
+#: Latin letters that are no look-alikes themselves; a token with one and a look-alike mixes repertoires.
+OWN_LATIN = "[A-Za-zÀ-İĲ-ɏ]"
 _GREEK_CYRILLIC = re.compile("[\u0370-\u03ff\u0400-\u052f]{2,}")
 _UNLIKE = re.compile(f"[^{FOREIGN}]")
 _TO_LATIN = str.maketrans(FOREIGN, LATIN_FOR)
@@ -109,38 +111,47 @@ def bare_form(word: str) -> str:
 
 
 def vocabulary(texts: DataFrame, text_col: str = "text") -> DataFrame:
-    """``token, bare, n``: in how many rows each word occurs, over all rows.
+    """``token, bare, n, n_rows``: in how many distinct texts and in how many rows each word occurs, over all rows.
 
     Words with look-alike letters of other scripts keep their case.  Counts are combined within Arrow batches before the shuffle.
     """
 
     def batch(cols: dict[str, list]) -> dict[str, list]:
         n: Counter = Counter()
-        for text in cols["text"]:
-            n.update({w if not w.isascii() and _FOREIGN.search(w) else w.lower() for w in text_words(text)})
-        return {"token": list(n), "bare": [w if w.isascii() else bare_form(w) for w in n], "n": list(n.values())}
+        n_rows: Counter = Counter()
+        for text, copies in zip(cols["text"], cols["copies"]):
+            for w in {w if not w.isascii() and _FOREIGN.search(w) else w.lower() for w in text_words(text)}:
+                n[w] += 1
+                n_rows[w] += copies
+        return {"token": list(n), "bare": [w if w.isascii() else bare_form(w) for w in n], "n": list(n.values()), "n_rows": list(n_rows.values())}
 
-    parts = map_batches(
-        spread(texts.select(F.col(text_col).alias("text")).where("text IS NOT NULL")), batch, "token string, bare string, n long"
-    )
-    return parts.groupBy("bare", "token").agg(F.sum("n").alias("n"))
+    distinct = texts.select(F.col(text_col).alias("text")).where("text IS NOT NULL").groupBy("text").agg(F.count("*").alias("copies"))
+    parts = map_batches(distinct, batch, "token string, bare string, n long, n_rows long")
+    return parts.groupBy("bare", "token").agg(F.sum("n").alias("n"), F.sum("n_rows").alias("n_rows"))
 
 
 def repairs(vocab: DataFrame) -> DataFrame:
-    """``token, repaired``: spellings to be substituted by the corpus's own spelling of the same word."""
-    t, n = F.col("token"), F.col("n")
+    """``token, repaired``: spellings to be substituted by the corpus's own spelling of the same word.
+
+    For a token that mixes repertoires the substituted form only has to be there.  Between unmixed spellings the frequency
+    decides: rows count only where the distinct texts do not speak against them, and copies alone never speak for a Persian letter.
+    """
+    t, n, n_rows, best = F.col("token"), F.col("n"), F.col("n_rows"), F.col("best")
     foreign = t.rlike(f"[{FOREIGN}]")
-    best = F.max(F.when(~foreign, F.struct("n", "token")))
+    mixed = foreign & t.rlike(OWN_LATIN)
+    most = F.max(F.when(~foreign, F.struct("n", "n_rows", "token")))
     forms = vocab.groupBy("bare").agg(
-        best.alias("best"), F.count("*").alias("forms"), F.collect_list(F.struct("token", "n")).alias("spelled")
+        most.alias("best"), F.count("*").alias("forms"), F.collect_list(F.struct("token", "n", "n_rows")).alias("spelled")
     )  # the spellings of one word
     every = forms.where("forms > 1 AND best IS NOT NULL").select("best", F.inline("spelled"))
-    often = F.col("best.n") >= LEAST_COUNT
+    often = best["n_rows"] >= LEAST_COUNT
+    more = (best["n"] > n) | (best["n"] == n) & (best["n_rows"] > n_rows)
+    not_against = (best["n"] > n) | (best["n"] == n) & ~best["token"].rlike(f"[{LOOKS_ARABIC[0]}]")
+    far_more = (best["n"] >= TIMES_AS_FREQUENT * n) | not_against & (best["n_rows"] >= TIMES_AS_FREQUENT * n_rows)
     return every.where(
-        (t != F.col("best.token"))
-        & often
-        & F.when(foreign, F.col("best.n") > n).otherwise(~t.rlike("^[\\x00-\\x7f]*$") & (F.col("best.n") >= TIMES_AS_FREQUENT * n))
-    ).select("token", F.col("best.token").alias("repaired"))
+        (t != best["token"])
+        & F.when(mixed, True).when(foreign, often & more).otherwise(~t.rlike("^[\\x00-\\x7f]*$") & often & far_more)
+    ).select("token", best["token"].alias("repaired"))
 
 
 def row_words(rows: DataFrame, keys: list[str]) -> DataFrame:

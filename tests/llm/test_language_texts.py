@@ -53,6 +53,22 @@ def test_lookalikes(spark):
     assert lookalike.find_lookalikes(df.where("false"), ["row_idx"]).count() == 0
 
 
+def test_copies_do_not_outvote_the_ordinary_spelling(spark):
+    copied = ["Нas anyone seen the аbuse"] * 50 + ["الرصیف"] * 50
+    plain = [f"it has no abuse {i}" for i in range(4)] + [f"الرصيف {i}" for i in range(9)]
+    df = spark.createDataFrame(list(enumerate(copied + plain)), "row_idx long, text string")
+    assert {r.row_idx for r in lookalike.find_lookalikes(df, ["row_idx"]).collect()} == set(range(100))
+    forms = {r.row_idx: r.form for r in lookalike.consistent_form(df, ["row_idx"]).collect()}
+    assert {forms[i] for i in range(50)} == {"Has anyone seen the abuse"} and {forms[i] for i in range(50, 100)} == {"الرصيف"}
+    assert [forms[100 + i] for i in range(len(plain))] == plain
+
+
+def test_mixed_tokens_need_no_frequency(spark):
+    texts = ["Нas", "аbuse", "аbuse here", "has", "abuse", "Ву", "by"]
+    df = spark.createDataFrame(list(enumerate(texts)), "row_idx long, text string")
+    assert {r.row_idx for r in lookalike.find_lookalikes(df, ["row_idx"]).collect()} == {0, 1, 2}
+
+
 WORDS = {
     "en": "the quiet banner near old mill was late and nobody knows why they chose this one", "fr": "le vieux pêcheur a réparé une photo floue dans la salle avant noël quand il est venu",
     "de": "der bäcker hat das alte fahrrad nach dem gewitter versteckt und niemand weiß warum es fehlt", "es": "el panadero olvidó la bicicleta del señor en el muelle porque nadie le avisó antes",
