@@ -31,6 +31,8 @@ LOOKS_LATIN = {
 }
 # fixed values: Persian and Urdu letters that look like an Arabic one in most positions
 LOOKS_ARABIC = ("کیہۀەھے", "كيههههي")
+# fixed values: letters of Arabic that Persian and Urdu do not write; a token with one and a letter of the first side above is mixed
+ONLY_ARABIC = "كيةى"
 
 FOREIGN = "".join(a for a, _ in LOOKS_LATIN.values())
 LATIN_FOR = "".join(b for _, b in LOOKS_LATIN.values())
@@ -138,8 +140,9 @@ def repairs(vocab: DataFrame) -> DataFrame:
     """
     t, n, n_rows, best = F.col("token"), F.col("n"), F.col("n_rows"), F.col("best")
     foreign = t.rlike(f"[{FOREIGN}]")
-    mixed = foreign & t.rlike(OWN_LATIN)
-    most = F.max(F.when(~foreign, F.struct("n", "n_rows", "token")))
+    two_sided = t.rlike(f"[{LOOKS_ARABIC[0]}]") & t.rlike(f"[{ONLY_ARABIC}]")
+    mixed = foreign & t.rlike(OWN_LATIN) | two_sided
+    most = F.max(F.when(~foreign & ~two_sided, F.struct("n", "n_rows", "token")))
     forms = vocab.groupBy("bare").agg(
         most.alias("best"), F.count("*").alias("forms"), F.collect_list(F.struct("token", "n", "n_rows")).alias("spelled")
     )  # the spellings of one word

@@ -69,6 +69,14 @@ def test_mixed_tokens_need_no_frequency(spark):
     assert {r.row_idx for r in lookalike.find_lookalikes(df, ["row_idx"]).collect()} == {0, 1, 2}
 
 
+def test_tokens_of_arabic_and_persian_letters_are_mixed(spark):
+    texts = ["@روفيهالوکيرا"] + [f"@روفيهالوكيرا {i}" for i in range(4)] + ["هوديہافوفوبو", "هوديهافوفوبو", "می‌روي خانه", "می‌روی", "کتاب"] + ["كتاب"] * 7
+    df = spark.createDataFrame(list(enumerate(texts)), "row_idx long, text string")
+    assert {r.row_idx for r in lookalike.find_lookalikes(df, ["row_idx"]).collect()} == {0, 5, 7}
+    forms = {r.row_idx: r.form for r in lookalike.consistent_form(df, ["row_idx"]).collect()}
+    assert forms[0] == "@روفيهالوكيرا" and forms[5] == forms[6] == "هوديهافوفوبو"
+
+
 WORDS = {
     "en": "the quiet banner near old mill was late and nobody knows why they chose this one", "fr": "le vieux pêcheur a réparé une photo floue dans la salle avant noël quand il est venu",
     "de": "der bäcker hat das alte fahrrad nach dem gewitter versteckt und niemand weiß warum es fehlt", "es": "el panadero olvidó la bicicleta del señor en el muelle porque nadie le avisó antes",
