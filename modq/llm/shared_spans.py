@@ -161,6 +161,8 @@ def _agree(sums: np.ndarray, down: np.ndarray, a: np.ndarray, b: np.ndarray, n:
 def shared_in_shard(passages: pd.DataFrame, length: int = LENGTH) -> pd.DataFrame:
     """``a, b, a_start, b_start, n``: maximal spans of at least ``length`` shared by passages of different texts."""
     empty = pd.DataFrame({c: np.zeros(0, np.int64) for c in ("a", "b", "a_start", "b_start", "n")})
+    # near a text's begin several passages start at 0: the longest holds the others
+    passages = passages.assign(size=passages["passage"].str.len()).sort_values(["class_id", "at", "size"], ascending=[True, True, False], kind="stable")
     passages = passages.drop_duplicates(["class_id", "at"])
     texts = [code_points(t) for t in passages["passage"]]
     ids, offset = passages["class_id"].to_numpy(np.int64), passages["at"].to_numpy(np.int64)

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -109,6 +110,17 @@ def test_anchors_are_local_and_dense():
     assert len(ss.anchors("x" * 249)[0]) == 0 and len(ss.anchors("x" * 5000)[0]) < 400
 
 
+def test_longest_passage_of_a_start_is_kept():
+    rng = random.Random(11)
+    text, other = ("".join(rng.choice("abcdefghij kl") for _ in range(500)) for _ in range(2))
+    shared = text[120:400]
+    rows = [(1, 0, text[:270]), (1, 0, text[:430]), (2, 40, other[:50] + shared)]
+    for order in ([0, 1, 2], [1, 0, 2], [2, 0, 1]):
+        found = ss.shared_in_shard(pd.DataFrame([rows[k] for k in order], columns=["class_id", "at", "passage"]))
+        assert found[["a", "b", "a_start", "b_start", "n"]].to_numpy().tolist() == [[1, 2, 120, 90, 280]]
+    assert not len(ss.shared_in_shard(pd.DataFrame(rows[:0], columns=["class_id", "at", "passage"])))
+
+
 @pytest.mark.parametrize("hot", [2, 1500])
 def test_pairs_and_shares_agree_with_brute_force(spark, monkeypatch, hot):
     monkeypatch.setattr(ss, "HOT_PASSAGES", hot)
