@@ -34,7 +34,8 @@ WINDOW = 5
 LEAST_SEGMENT = 5
 BITS = 15
 BUCKETS = 1 << 16
-CHANGE = 18.0
+#: One word says at most 8: a segment of five words between two of another language can gain 40, its two changes must cost less.
+CHANGE = 14.0
 RIDGE = 0.3
 MOST_SAY = 8.0
 AMBIGUOUS = 2.0

@@ -108,6 +108,17 @@ def test_language_of_rows_and_segments(spark):
     assert language.detect(df, None).count() == 0 and language.fit_coder([]) is None
 
 
+def test_short_segment_in_the_middle_is_found_with_one_neutral_word():
+    coder = language.Coder(np.zeros((1, language.BITS)), np.zeros(language.BITS), language.codewords())
+    en, de, both = (np.full(len(language.CLASSES), language.MOST_SAY) for _ in range(3))
+    en[language.CLASSES.index("en")] = de[language.CLASSES.index("de")] = 0
+    both[[language.CLASSES.index("en"), language.CLASSES.index("de")]] = 0
+    coder.known_costs = {"e": en, "d": de, "b": both}
+    found = coder.word_segments("e e e e e e d d b d d e e e e e e".split())
+    assert [(first, n, language.CLASSES[k]) for first, n, k, _ in found] == [(0, 6, "en"), (6, 5, "de"), (11, 6, "en")]
+    assert len(coder.word_segments("e e e e e e d d b d e e e e e e".split())) == 1
+
+
 def test_codewords_are_far_apart():
     code = language.codewords()
     far = (code[:, None] != code[None]).sum(2)
