@@ -200,6 +200,12 @@ def multimodal_report(spark, d):
     return out.withColumns({c: r6(c) for c in ("arabic_fraction", "positive_rate")})
 
 
+@query()
+def multimodal_image_counts(spark, d):
+    out = validate.multimodal_report(table(spark, d, MM), table(spark, d, "image_blobs"))
+    return out.select("split_name", "valid_rows", "images_ok", "images_corrupted", "images_missing")
+
+
 @query()
 def image_checks(spark, d):
     return table(spark, d, "image_blobs").select("path", image_status(F.col("content")).alias("status"))

@@ -1,8 +1,11 @@
 import json
+from functools import reduce
 
 import pytest
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from modq import catalogue
 from modq.functions import schema
 from modq.functions.images import jpeg_size
 from modq.operators import validate
@@ -66,6 +69,16 @@ def test_missing_picture_does_not_make_a_row_invalid(spark):
     assert (row.valid_rows, row.images_missing, row.malformed_rows) == (1, 1, 0)
 
 
+def test_registered_picture_counts(spark, tmp_path):
+    head = bytearray(b"\xff\xd8\xff\xe0\x00\x04ab\xff\xc0\x00\x11\x08\x00\x04\x00\x08\x03")
+    rows = [multimodal(spark, image_path=x) for x in ("a.jpg", "a.jpg", "b.jpg", "none.jpg")] + [multimodal(spark, image_path="b.jpg", text=" ")]
+    reduce(DataFrame.unionByName, rows).write.parquet(f"{tmp_path}/multimodal_examples.parquet")
+    blobs = spark.createDataFrame([("a.jpg", head), ("b.jpg", bytearray(b"garbage"))], "path string, content binary")
+    blobs.write.parquet(f"{tmp_path}/image_blobs.parquet")
+    got = {tuple(r) for r in catalogue.QUERIES["multimodal_image_counts"](spark, str(tmp_path)).collect()}
+    assert got == {("train", 4, 2, 1, 1), (None, 4, 2, 1, 1)}
+
+
 def test_jpeg_header():
     head = b"\xff\xd8\xff\xe0\x00\x04ab\xff\xc0\x00\x11\x08\x00\x04\x00\x08\x03"
     assert jpeg_size(head) == (8, 4)
