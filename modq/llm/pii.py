@@ -1,24 +1,20 @@
 """Problem 3: personal information inside free text.
 
-Method: a character-level bidirectional LSTM with CRF transitions, trained in numpy from labelled spans.  Text is brought to
-plain characters with a map back to the original offsets; overlapping windows around cues are scored, the windows' scores are
-averaged with weights that fall towards their edges, and one Viterbi pass over the reconciled scores of a whole stretch gives
-its spans.  An exact check of each span's form follows.
-
-A cue is what every case has by definition: a digit (phone, identity number, address), an at sign in any spelling (email), or a
-given name, initial, title or pair of capitalised uncommon words (person name).  Stretches without a cue hold no case and are
-not scored; every text is looked at whole.
+Method: a character-level bidirectional LSTM with CRF transitions, trained in numpy from labelled spans (``pii_train``).  Text is
+brought to plain characters with a map back to the original offsets; every text is scored whole in overlapping windows, the
+windows' scores are averaged with weights that fall towards their edges, and one Viterbi pass over the reconciled scores of the
+whole text gives kinds and ends of its spans.  No pattern, word list or cue decides where a span is or ends; ``well_formed`` only
+refuses spans that cannot be what they are called (a phone number without digits).
 
 The trained weights lie in ``models/pii.npz``; ``python -m modq.llm.pii_train`` makes them again from a bounded sample
-of labelled rows (see there).  ``find_pii`` takes any other model as a parameter.
+of rows (see there).  ``find_pii`` takes any other model as a parameter.
 
-Defined results: null and blank texts have no spans; overlapping spans do not occur; repeated rows repeat; empty tables give no
+Defined results: null and blank texts have no spans; spans do not overlap; repeated rows repeat; empty tables give no
 rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from functools import lru_cache
 from pathlib import Path
@@ -28,178 +24,193 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import lstm_kernel
 from .base import nonblank, spread
-from .lookalike import _DROP, _TO_LATIN
+from .lookalike import _TO_LATIN, _UNSEEN
 
 KINDS = ("email", "phone", "id_number", "address", "person_name")
 TAGS = ("O", *(f"{p}-{k}" for k in KINDS for p in "BI"))
-WINDOW, OVERLAP, MARGIN = 96, 32, 36
+WINDOW, OVERLAP, BATCH, PATHS = 256, 48, 128, 512
 SYMBOLS = 99
-#: Added to the score of every tag but O, so that doubtful spans reach the exact check.
-RECALL_BONUS = 1.0
-
-# fixed values: forms of address before a family name
-TITLES = ("mr", "mrs", "ms", "miss", "dr", "prof", "mme", "mlle", "herr", "frau", "sr", "sra", "señor", "señora", "sir")
-
-_WORD = re.compile(r"[A-Za-zÀ-ÿ]+(?:[-'’][A-Za-zÀ-ÿ]+)*")
-_CUE = re.compile(r"\d|@|[(\[]\s?at\s?[)\]]|\bat \S+ dot\b|\b[A-Z]\. ?[A-Za-zÀ-ÿ]", re.IGNORECASE)
-_PAIR = re.compile(r"\b[A-ZÀ-Þ][A-Za-zÀ-ÿ'’\-]+[^A-Za-zÀ-ÿ]{1,2}[A-ZÀ-Þ]")
-_SPACES = re.compile("  +")
-_LINE_ENDS = {9: " ", 10: " ", 13: " "}
-
+HIDDEN, WIDTH = 24, 12
 
 @lru_cache(maxsize=1)
-def _plain_table() -> dict[int, str]:
-    """Characters with a plain one of the same meaning, one to one."""
-    table = {c: a for c, a in _TO_LATIN.items()}
-    table = {c: chr(a) if isinstance(a, int) else a for c, a in table.items()}
-    table.update({cp: chr(cp - 0xFEE0) for cp in range(0xFF01, 0xFF5F)})
+def _tables() -> tuple[np.ndarray, np.ndarray]:
+    """Code point -> plain code point of the same meaning (0: invisible, left out), and plain code point -> symbol."""
+    plain = np.arange(0x110000, dtype=np.uint32)
+    plain[0] = 0x20
+    for cp in range(0x80, 0x10000):
+        if _UNSEEN.match(chr(cp)) or 0xFE00 <= cp <= 0xFE0F:
+            plain[cp] = 0
+    for c, a in _TO_LATIN.items():
+        plain[c] = a if isinstance(a, int) else ord(a)
+    plain[0xFF01:0xFF5F] = np.arange(0x21, 0x7F)
     for zero in (0x660, 0x6F0):
-        table.update({zero + d: str(d) for d in range(10)})
-    table.update({cp: " " for cp in (0xA0, 0x1680, *range(0x2000, 0x200B), 0x202F, 0x205F, 0x3000, 9, 10, 13)})
-    return table
+        plain[zero : zero + 10] = np.arange(48, 58)
+    plain[[0xA0, 0x1680, *range(0x2000, 0x200B), 0x202F, 0x205F, 0x3000, 9, 10, 13]] = 0x20
+    symbol = np.full(0x110000, 97, dtype=np.int16)  # ASCII by itself, other letters by case, everything else as one
+    symbol[32:127] = np.arange(95)
+    for cp in range(0xAA, 0x2C00):
+        c = chr(cp)
+        if c.isalpha():
+            symbol[cp] = 96 if c.isupper() else 95
+    return plain, symbol
 
 
-def plain_text(text: str) -> tuple[str, list[int] | None]:
-    """A text in plain characters with single spaces, and for each character its offset in the original (None: the same)."""
-    plain = text.translate(_LINE_ENDS if text.isascii() else _plain_table())
-    dropped = {i for m in _SPACES.finditer(plain) for i in range(m.start() + 1, m.end())}
-    if not text.isascii():
-        dropped.update(i for m in _DROP.finditer(text) for i in range(*m.span()))
-    if not dropped:
-        return plain, None
-    kept = [i for i in range(len(text)) if i not in dropped]
-    return "".join(plain[i] for i in kept), kept
+def plain_codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Plain code points of all texts one after the other with single spaces, their offsets in their text, and each text's end."""
+    cps = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    sizes = np.array([len(t) for t in texts], dtype=np.int64)
+    plain, row = _tables()[0][cps], np.repeat(np.arange(len(texts)), sizes)
+    at = np.arange(len(cps)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    seen = plain != 0
+    plain, row, at = plain[seen], row[seen], at[seen]
+    space = plain == 0x20
+    single = np.ones(len(plain), bool)
+    single[1:] = ~(space[1:] & space[:-1] & (row[1:] == row[:-1]))
+    return plain[single], at[single], np.cumsum(np.bincount(row[single], minlength=len(texts)))
 
 
-@lru_cache(maxsize=1)
-def _symbol_table() -> np.ndarray:
-    """Code point -> symbol: ASCII by itself, other letters by case, everything else as one."""
-    table = np.full(0x110000, 97, dtype=np.int16)
-    table[32:127] = np.arange(95)
-    for cp in range(0xAA, 0x2C00):
-        c = chr(cp)
-        if c.isalpha():
-            table[cp] = 96 if c.isupper() else 95
-    return table
+def plain_text(text: str) -> str:
+    return plain_codes([text])[0].tobytes().decode("utf-32-le", "surrogatepass")
 
 
 def symbols(text: str) -> np.ndarray:
-    return _symbol_table()[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)]
+    return _tables()[1][np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)]
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(x, -15, 15)))
+    return 0.5 + 0.5 * np.tanh(0.5 * x)
 
 
 class BiLstmCrf:
     """Weights and scoring; the backward pass is in ``pii_train``."""
 
-    NAMES = ("table_f", "table_b", "rec_f", "rec_b", "out_f", "out_b", "out_bias", "trans", "start")
+    NAMES = ("table", "in_f", "in_b", "bias_f", "bias_b", "rec_f", "rec_b", "out", "out_bias", "trans", "start")
 
-    def __init__(self, hidden: int = 32, seed: int = 3) -> None:
+    def __init__(self, hidden: int = HIDDEN, seed: int = 3) -> None:
         rng, h, t = np.random.default_rng(seed), hidden, len(TAGS)
-        self.hidden = h
-        self.p: dict[str, np.ndarray] = {}
+        self.p: dict[str, np.ndarray] = {"table": rng.normal(0, 1, (SYMBOLS, WIDTH))}
         for d in "fb":
-            table = rng.normal(0, 0.3, (SYMBOLS, 4 * h))
-            table[:, h : 2 * h] += 1.0  # forget gates start open
-            self.p[f"table_{d}"] = table.astype(np.float32)
-            self.p[f"rec_{d}"] = (rng.normal(0, 1, (h, 4 * h)) / np.sqrt(h)).astype(np.float32)
-            self.p[f"out_{d}"] = (rng.normal(0, 1, (h, t)) / np.sqrt(h)).astype(np.float32)
-        self.p["out_bias"], self.p["trans"], self.p["start"] = np.zeros(t, np.float32), np.zeros((t, t), np.float32), np.zeros(t, np.float32)
-        self.given: frozenset[str] = frozenset()
-        self.common: frozenset[str] = frozenset()
+            self.p[f"in_{d}"] = rng.normal(0, 1, (WIDTH, 4 * h)) / np.sqrt(WIDTH)
+            self.p[f"rec_{d}"] = rng.normal(0, 1, (h, 4 * h)) / np.sqrt(h)
+            self.p[f"bias_{d}"] = np.repeat([0.0, 1.0, 0.0, 0.0], h)  # forget gates start open
+        self.p["out"] = rng.normal(0, 1, (2 * h, t)) / np.sqrt(2 * h)
+        self.p.update(out_bias=np.zeros(t), trans=np.zeros((t, t)), start=np.zeros(t))
+        self.p = {k: v.astype(np.float32) for k, v in self.p.items()}
+
+    @property
+    def hidden(self) -> int:
+        return self.p["rec_f"].shape[0]
 
     def run(self, x: np.ndarray, d: str, keep: list | None = None) -> np.ndarray:
-        """Hidden states of one direction for symbols ``x`` (batch x time)."""
-        h_size = self.hidden
-        table, rec = self.p[f"table_{d}"], self.p[f"rec_{d}"]
-        n, steps = x.shape
-        h, c = np.zeros((n, h_size), np.float32), np.zeros((n, h_size), np.float32)
-        out = np.empty((steps, n, h_size), np.float32)
+        """Hidden states (time x batch) of one direction for symbols ``x`` (time x batch)."""
+        k = self.hidden
+        table, rec = self.p["table"] @ self.p[f"in_{d}"] + self.p[f"bias_{d}"], self.p[f"rec_{d}"]
+        steps, n = x.shape
+        h, c = np.zeros((n, k), np.float32), np.zeros((n, k), np.float32)
+        out = np.empty((steps, n, k), np.float32)
         for t in range(steps) if d == "f" else range(steps - 1, -1, -1):
-            z = table[x[:, t]] + h @ rec
-            g = _sigmoid(z[:, : 3 * h_size])
-            i, f, o = g[:, :h_size], g[:, h_size : 2 * h_size], g[:, 2 * h_size :]
-            u = np.tanh(z[:, 3 * h_size :])
-            before = c
-            c = f * c + i * u
+            z = table[x[t]] + h @ rec
+            g = _sigmoid(z[:, : 3 * k])
+            u = np.tanh(z[:, 3 * k :])
+            before, c = c, g[:, k : 2 * k] * c + g[:, :k] * u
             tc = np.tanh(c)
             if keep is not None:
-                keep.append((t, h, before, i, f, o, u, tc))
-            h = o * tc
+                keep.append((t, h, before, g, u, tc))
+            h = g[:, 2 * k :] * tc
             out[t] = h
         return out
 
     def emissions(self, x: np.ndarray) -> np.ndarray:
-        """Tag scores (time x batch x tags)."""
-        return self.run(x, "f") @ self.p["out_f"] + self.run(x, "b") @ self.p["out_b"] + self.p["out_bias"]
-
-    def viterbi(self, e: np.ndarray, lengths: np.ndarray) -> list[np.ndarray]:
-        """Best tags of every sequence of a batch (time x batch x tags)."""
-        steps, n, _ = e.shape
-        score, back = self.p["start"] + e[0], np.zeros((steps, n, len(TAGS)), np.int8)
+        """Tag scores (time x batch x tags) in numpy."""
+        return np.concatenate([self.run(x, "f"), self.run(x, "b")], axis=2) @ self.p["out"] + self.p["out_bias"]
+
+    def score(self, x: np.ndarray) -> np.ndarray:
+        """The same by the compiled kernel, where there is one."""
+        if not hasattr(self, "_session"):
+            self._session = lstm_kernel.session(self.p)
+        if self._session is None:
+            return self.emissions(x)
+        y, h = self._session.run(None, {"x": x.astype(np.int64)})[0], self.hidden
+        e = y[:, 0].reshape(-1, h) @ self.p["out"][:h]
+        e += y[:, 1].reshape(-1, h) @ self.p["out"][h:]
+        e += self.p["out_bias"]
+        return e.reshape(*x.shape, -1)
+
+    def __getstate__(self) -> dict:
+        return {"p": self.p}
+
+    def viterbi(self, e: np.ndarray, lengths: np.ndarray) -> list[np.ndarray | None]:
+        """Best tags of every sequence of a batch (time x tags x batch, shortest first); None where O throughout is best.
+
+        The forward pass keeps scores only; paths are traced back where the best score beats that of the path without spans.
+        """
+        steps, k, n = e.shape
+        trans = self.p["trans"]
+        best, buffer = np.empty_like(e), np.empty((k, k, n), np.float32)
+        best[0] = self.p["start"][:, None] + e[0]
         for t in range(1, steps):
-            all_ = score[:, :, None] + self.p["trans"]
-            back[t] = all_.argmax(1)
-            new = all_.max(1) + e[t]
-            score = np.where((t < lengths)[:, None], new, score)
-        out = []
-        for k in range(n):
-            path = np.empty(lengths[k], np.int8)
-            path[-1] = score[k].argmax()
-            for t in range(lengths[k] - 1, 0, -1):
-                path[t - 1] = back[t, k, path[t]]
-            out.append(path)
+            np.add(best[t - 1][:, None, :], trans[:, :, None], out=buffer)
+            np.maximum.reduce(buffer, axis=0, out=best[t])
+            best[t] += e[t]
+        last = best[lengths - 1, :, np.arange(n)]
+        outside = self.p["start"][0] + np.cumsum(e[:, 0] + trans[0, 0], axis=0)[lengths - 1, np.arange(n)] - trans[0, 0]
+        out: list[np.ndarray | None] = [None] * n
+        some = np.flatnonzero(last.max(1) > outside + 1e-3)
+        paths = np.zeros((steps, len(some)), np.int8)
+        now = last[some].argmax(1)
+        for t in range(steps - 1, -1, -1):
+            on = lengths[some] - 1
+            now = np.where(on > t, (best[t][:, some] + trans[:, now]).argmax(0), now) if t < steps - 1 else now
+            paths[t] = now
+        for j, c in enumerate(some.tolist()):
+            out[c] = paths[: lengths[c], j]
         return out
 
-    def decode(self, stretches: list[np.ndarray]) -> list[np.ndarray]:
-        """Tags of every stretch: windows are scored in batches, reconciled, and decoded by stretch."""
-        todo, step = [], WINDOW - OVERLAP
-        for k, s in enumerate(stretches):
-            for at in range(0, max(1, len(s) - OVERLAP), step):
-                todo.append((k, at))
-        sums = [np.zeros((len(s), len(TAGS)), np.float32) for s in stretches]
-        weights = [np.zeros(len(s), np.float32) for s in stretches]
+    def decode(self, texts: list[np.ndarray]) -> list[np.ndarray | None]:
+        """Tags of every text, None where there is no span: windows are scored in batches, reconciled, and decoded by text."""
+        todo = [(k, at) for k, s in enumerate(texts) for at in range(0, max(1, len(s) - OVERLAP), WINDOW - OVERLAP)]
+        todo.sort(key=lambda ka: min(WINDOW, len(texts[ka[0]]) - ka[1]))
+        sums: dict[int, np.ndarray] = {}
+        weights: dict[int, np.ndarray] = {}
         ramp = np.minimum(np.arange(1, WINDOW + 1), np.arange(WINDOW, 0, -1)).astype(np.float32)
-        todo.sort(key=lambda ka: min(WINDOW, len(stretches[ka[0]]) - ka[1]))
-        for lo in range(0, len(todo), 256):
-            part = todo[lo : lo + 256]
-            longest = max(min(WINDOW, len(stretches[k]) - at) for k, at in part)
-            x = np.full((len(part), longest), SYMBOLS - 1, np.int16)
+        for lo in range(0, len(todo), BATCH):
+            part = todo[lo : lo + BATCH]
+            sizes = [min(WINDOW, len(texts[k]) - at) for k, at in part]
+            x = np.full((len(part), sizes[-1]), SYMBOLS - 1, np.int16)
             for j, (k, at) in enumerate(part):
-                piece = stretches[k][at : at + WINDOW]
-                x[j, : len(piece)] = piece
-            e = self.emissions(x)
+                x[j, : sizes[j]] = texts[k][at : at + sizes[j]]
+            e = self.score(x.T)
             for j, (k, at) in enumerate(part):
-                n = min(WINDOW, len(stretches[k]) - at)
+                n = sizes[j]
+                if len(texts[k]) <= WINDOW:
+                    sums[k] = e[:n, j]
+                    continue
+                if k not in sums:
+                    sums[k], weights[k] = np.zeros((len(texts[k]), len(TAGS)), np.float32), np.zeros(len(texts[k]), np.float32)
                 sums[k][at : at + n] += e[:n, j] * ramp[:n, None]
                 weights[k][at : at + n] += ramp[:n]
-        scores = [s / w[:, None] for s, w in zip(sums, weights)]
-        bonus = np.full(len(TAGS), RECALL_BONUS, np.float32)
-        bonus[0] = 0
-        out: list[np.ndarray] = [np.zeros(0, np.int8)] * len(stretches)
-        order = sorted(range(len(stretches)), key=lambda k: len(stretches[k]))
-        for lo in range(0, len(order), 256):
-            part = order[lo : lo + 256]
-            lengths = np.array([len(stretches[k]) for k in part])
-            e = np.zeros((lengths.max(), len(part), len(TAGS)), np.float32)
+        out: list[np.ndarray | None] = [None] * len(texts)
+        order = sorted(sums, key=lambda k: len(texts[k]))
+        for lo in range(0, len(order), PATHS):
+            part = order[lo : lo + PATHS]
+            lengths = np.array([len(texts[k]) for k in part])
+            e = np.zeros((lengths[-1], len(part), len(TAGS)), np.float32)
             for j, k in enumerate(part):
-                e[: lengths[j], j] = scores[k] + bonus
-            for k, path in zip(part, self.viterbi(e, lengths)):
+                e[: lengths[j], j] = sums[k] / weights[k][:, None] if k in weights else sums[k]
+            for k, path in zip(part, self.viterbi(np.ascontiguousarray(e.transpose(0, 2, 1)), lengths)):
                 out[k] = path
         return out
 
     def save(self, path: str | Path) -> None:
-        np.savez_compressed(path, given=np.array(sorted(self.given)), common=np.array(sorted(self.common)), **{k: v.astype(np.float16) for k, v in self.p.items()})
+        np.savez_compressed(path, **{k: v.astype(np.float16) for k, v in self.p.items()})
 
     @staticmethod
     def load(path: str | Path) -> "BiLstmCrf":
+        model = BiLstmCrf()
         with np.load(path) as z:
-            model = BiLstmCrf(z["rec_f"].shape[0])
             model.p = {k: z[k].astype(np.float32) for k in BiLstmCrf.NAMES}
-            model.given, model.common = frozenset(z["given"].tolist()), frozenset(z["common"].tolist())
         return model
 
 
@@ -208,146 +219,45 @@ def default_model() -> BiLstmCrf:
     return BiLstmCrf.load(Path(__file__).parent / "models" / "pii.npz")
 
 
-@lru_cache(maxsize=4)
-def _name_cues(given: frozenset[str]) -> frozenset[str]:
-    return given | frozenset(TITLES)
-
-
-def cue_stretches(text: str, given: frozenset[str], common: frozenset[str]) -> list[tuple[int, int]]:
-    """Stretches of a plain text around its cues."""
-    at = [m.start() for m in _CUE.finditer(text)]
-    names = _name_cues(given)
-    if _PAIR.search(text) or not names.isdisjoint(map(str.lower, _WORD.findall(text))):  # else the words hold no cue
-        last_end, last_strange = -9, False
-        for m in _WORD.finditer(text):
-            w = m.group()
-            low = w.lower()
-            strange = w[0].isupper() and low not in common and len(w) > 2
-            if low in names or strange and last_strange and m.start() - last_end <= 2:
-                at.append(m.start())
-            last_end, last_strange = m.end(), strange
-    if not at:
-        return []
-    out: list[list[int]] = []
-    for p in sorted(at):
-        lo, hi = max(0, p - MARGIN), min(len(text), p + MARGIN)
-        if out and lo <= out[-1][1]:
-            out[-1][1] = hi
-        else:
-            out.append([lo, hi])
-    return [(a, b) for a, b in out]
-
-
-# the exact check of forms
-EMAIL = re.compile(
-    r"[A-Za-z0-9][\w.+\-]*(?:\s?(?:@|[(\[]\s?at\s?[)\]])\s?| at )[A-Za-z][\w\-]*(?:(?:\.|\s?[(\[]\s?dot\s?[)\]]\s?| dot )[A-Za-z][\w\-]*)+", re.IGNORECASE
-)
-PHONE = re.compile(r"(?<![\w#])(?:\+\d|\(\d{2,5}\)|00\d|0\d|1[.\-]\d{3}[.\-]|\d{3}-\d{4}(?!\d|-\d))(?:[ ().\-/]{0,2}\d)*(?!\d)")
-NUMBER = re.compile(r"[A-Za-z]{0,4}\d[\dA-Za-z]*(?:[ \-/.]\d[\dA-Za-z]*)*(?:-?[A-Za-z])?")
-STREET = r"(?:st|street|rd|road|ave|avenue|blvd|boulevard|lane|ln|close|crescent|drive|dr|way|row|court|place|square|terrace|rise|hill|gardens)"
-_TOWN = r"(?:, \d [A-Za-z]\b)?(?:, (?:\d{4,5} )?(?-i:[A-ZÀ-Ý])[^\W\d_]+(?: (?-i:[A-ZÀ-Ý])[^\W\d_]+)?(?: \d{4,5})?)?"
-ADDRESS = re.compile(
-    rf"(?:(?:(?:flat|apt\.?|apartment|unit|suite) \d+\w?, ?)?\d+[a-z]?,? (?!on\b|in\b|at\b|of\b|the\b|to\b|and\b)(?:[^\W\d_][\w'’\-]* ){{1,3}}{STREET}\b\.?"
-    r"|\d+[a-z]?,? (?:rue|avenue|boulevard|place|chemin|quai|impasse)\b(?: (?!on\b|in\b|at\b)[^\W\d_]+){1,2}(?: (?-i:[A-ZÀ-Ý])[^\W\d_]+){0,2}"
-    r"|\b(?:calle|avenida|plaza|paseo) (?:[^\W\d_]+ ){1,4}\d+|[^\W\d_]+(?:straße|strasse|gasse|allee|weg|platz|ufer) \d+"
-    r"|\b(?:am|im|an der|auf der|auf dem|zum|zur) (?-i:[A-ZÄÖÜ])[^\W\d_]+ \d+"
-    r"|\bp\.? ?o\.? ?box \d+|\b(?:postfach|apartado(?: de correos)?|bo[iî]te postale|b\.?p\.?) \d+)" + _TOWN,
-    re.IGNORECASE,
-)
-ID_WORDS = re.compile(
-    r"(?:passport|passeport|pasaporte|reisepass|ssn|social security|s[ée]curit[ée] sociale|seguridad social|tax id|tax number|steuer\w*|national id"
-    r"|id card|identity card|\bdni\b|\bnie\b|\bnif\b|ausweis\w*|driving licen[cs]e|driver'?s licen[cs]e|licen[cs]e|licencia|permis|f[üu]hrerschein\w*|identidad|identit[ée])"
-    r"\b[^\d.!?]{0,24}(?:\bno\. ?)?$",
-    re.IGNORECASE,
-)
-
-
-def family_like(w: str, common: frozenset[str]) -> bool:
-    return len(w) >= 3 and w.lower() not in common and w.lower() not in TITLES
-
-
-_INITIAL = re.compile(r"[A-Za-zÀ-ÿ]\. ?$")
-
-
-def name_spans(text: str, lo: int, hi: int, given: frozenset[str], common: frozenset[str]) -> Iterator[tuple[int, int]]:
-    """Family names with a given name, initial or title in front, or with a given name behind a comma, in a part of a text."""
-    ws = [(m.group(), m.start(), m.end()) for m in _WORD.finditer(text, lo, hi)]
-    for i, (w, a, b) in enumerate(ws):
-        if not family_like(w, common) or w.lower() in given and not (i and ws[i - 1][0].lower() in (*given, *TITLES)):
-            continue
-        if text[a - 1 : a] in ("@", "#"):
-            continue
-        start = a
-        k = i - 1
-        if k >= 0 and len(ws[k][0]) == 1 and text[ws[k][2] : a].strip(" ") == ".":  # an initial
-            start, k = ws[k][1], k - 1
-        if k >= 0 and text[ws[k][2] : start] in (" ", ". ", ".") and (ws[k][0].lower() in TITLES or ws[k][0].lower() in given and text[ws[k][2] : start] == " "):
-            start = ws[k][1]
-        if start < a:
-            yield start, b
-        elif i + 1 < len(ws) and ws[i + 1][0].lower() in given and text[b : ws[i + 1][1]] == ", " and w[0].isupper() == ws[i + 1][0][0].isupper():
-            yield a, ws[i + 1][2]
-
-
-def checked_span(kind: str, text: str, start: int, end: int, model: BiLstmCrf) -> tuple[int, int] | None:
-    """The exact check: the form of the kind that overlaps a predicted span gives the span's ends; None if there is none."""
-
-    def over(pattern: re.Pattern, room: int) -> Iterator[re.Match]:
-        return (m for m in pattern.finditer(text, max(0, start - room), min(len(text), end + room)) if m.start() < end and m.end() > start)
-
-    def digits(m: re.Match) -> int:
-        return sum(c.isdigit() for c in m.group())
-
-    def after_id_word(m: re.Match) -> bool:
-        return bool(ID_WORDS.search(text[max(0, m.start() - 45) : m.start()]))
-
+def well_formed(kind: str, span: str) -> bool:
+    """Whether a span can be what it is called; it moves no span and adds none."""
+    digits = sum(c.isdigit() for c in span)
+    letters = sum(c.isalpha() for c in span)
     if kind == "email":
-        return next((m.span() for m in over(EMAIL, 40)), None)
-    if kind == "address":
-        return next((m.span() for m in over(ADDRESS, 40)), None)
+        return letters >= 4 and ("@" in span or " at " in span.lower().replace("(", " ").replace("[", " ").replace(")", " ").replace("]", " "))
     if kind == "phone":
-        return next((m.span() for m in over(PHONE, 14) if 7 <= digits(m) <= 15 and not after_id_word(m)), None)
+        return 7 <= digits <= 15 and letters == 0
     if kind == "id_number":
-        return next((m.span() for m in over(NUMBER, 14) if digits(m) >= 5 and after_id_word(m)), None)
-    return next(((a, b) for a, b in name_spans(text, max(0, start - 24), min(len(text), end + 24), model.given, model.common) if a < end and b > start), None)
+        return digits >= 4
+    if kind == "address":
+        return digits >= 1 and letters >= 3
+    return len(span.replace(",", " ").replace(".", " ").split()) >= 2 and digits == 0
 
 
 def spans_of(texts: list[str], model: BiLstmCrf) -> list[list[tuple[int, int, str]]]:
-    """Spans (start, end, kind) in the offsets of the original texts."""
-    plain = [plain_text(t) for t in texts]
-    pieces, owner = [], []
-    for k, (t, _) in enumerate(plain):
-        for lo, hi in cue_stretches(t, model.given, model.common):
-            pieces.append(symbols(t[lo:hi]))
-            owner.append((k, lo))
+    """Spans (start, end, kind) in the offsets of the original texts, in order and without overlap."""
+    plain, offset, ends = plain_codes(texts)
+    coded, begin = _tables()[1][plain], np.concatenate([[0], ends[:-1]]).astype(np.int64) if texts else []
+    filled = [k for k in range(len(texts)) if ends[k] > begin[k]]
     out: list[list[tuple[int, int, str]]] = [[] for _ in texts]
-    for (k, lo), path in zip(owner, model.decode(pieces) if pieces else []):
-        t, kept = plain[k]
-        if not path.any():
+    for k, path in zip(filled, model.decode([coded[begin[k] : ends[k]] for k in filled])):
+        if path is None:
             continue
+        t, kept = plain[begin[k] : ends[k]].tobytes().decode("utf-32-le", "surrogatepass"), offset[begin[k] : ends[k]]
         kinds = (path + 1) // 2  # 0 for O, else the kind's number
         begins = (path % 2 == 1) | (kinds != np.concatenate([[0], kinds[:-1]]))
-        at = np.flatnonzero(begins & (kinds > 0))
-        for s in at.tolist():
+        for s in np.flatnonzero(begins & (kinds > 0)).tolist():
             e = s + 1
             while e < len(path) and kinds[e] == kinds[s] and path[e] % 2 == 0:
                 e += 1
-            kind = KINDS[kinds[s] - 1]
-            if (span := checked_span(kind, t, lo + s, lo + e, model)) is not None:
-                a, b = span
-                if kept is not None:
-                    a, b = kept[a], kept[b - 1] + 1
-                out[k].append((a, b, kind))
-    return [_apart(spans) for spans in out]
-
-
-def _apart(spans: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
-    """Spans in order without overlap; a name inside an email is an email only."""
-    done: list[tuple[int, int, str]] = []
-    for span in sorted(set(spans), key=lambda x: (KINDS.index(x[2]), x[0], -x[1])):
-        if all(span[1] <= a or span[0] >= b for a, b, _ in done):
-            done.append(span)
-    return sorted(done)
+            a, b, kind = s, e, KINDS[kinds[s] - 1]
+            while a < b and t[a].isspace():
+                a += 1
+            while b > a and t[b - 1].isspace():
+                b -= 1
+            if a < b and well_formed(kind, t[a:b]):
+                out[k].append((int(kept[a]), int(kept[b - 1]) + 1, kind))
+    return out
 
 
 def redact(text: str, spans: list[tuple[int, int, str]]) -> str:

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from modq.llm import abuse, language, lookalike, mojibake, pii, pii_train
+from modq.llm import abuse, language, lookalike, mojibake
 
 
 def test_round_trips_of_garbling():
@@ -144,60 +144,3 @@ def test_chain_learns_abuse_but_not_reports_of_it(spark):
     assert {r.row_idx: r.abusive > 0.5 for r in abuse.score_texts(df, chain, ["row_idx"]).collect()} == {1: True, 2: False}
     empty = abuse.fit_chain([], {})
     assert empty.scores(["anything"])[abuse.FINAL][0] < 0.51
-
-
-CASES = {
-    "Write to me at rosa.penefu@lettrebox.test, thanks": {"email"}, "send it to wunder (at) post (dot) larkmoor (dot) test": {"email"}, "My number is +44 7700 900 642 now": {"phone"}, "Ring me on (555) 555-0122 if the bus is late": {"phone"},
-    "They printed my passport X9318892 on the form": {"id_number"}, "For the record: SSN 000-98-6152": {"id_number"}, "She lives at 46 Juniper Rise St., Eastwick Sands": {"address"}, "Deliver it to PO Box 8925, Fallowport": {"address"},
-    "It was Yusra J. Corvendale who took the picture!": {"person_name"}, "signed, Mrs Kostelvan": {"person_name"}, "package viewer@0.9.0 fails on the old laptop": set(), "The match ended 3-1 after 5 @ 3 odds": set(),
-    "Hope and Grant money ran out in May": set(), "ID checks at the door are annoying": set(), "Order 20240117-88-329 is still open": set(), "See the thread from 2023-05-10 18:25:07": set(), "": set(), "   ": set(),
-}
-
-
-def test_personal_information(spark):
-    model = pii.default_model()
-    texts = list(CASES)
-    found = pii.spans_of(texts, model)
-    assert {t: {k for *_, k in s} for t, s in zip(texts, found)} == CASES
-    t = "Contact=will+foko@post.larkmoor.test; signed,  Mrs​ Kostelvan"
-    assert pii.redact(t, pii.spans_of([t], model)[0]) == "Contact=[EMAIL]; signed,  [PERSON_NAME]"
-    long = "A quiet day. " * 400 + "My number is +44 7700 900 642." + " Nothing else." * 400
-    assert [k for *_, k in pii.spans_of([long], model)[0]] == ["phone"]
-    df = spark.createDataFrame([(1, texts[0]), (2, None), (None, texts[0]), (3, "nothing")], "row_idx long, text string").withColumn("kinds", F.lit(1))
-    assert [(r.row_idx, r.kinds) for r in pii.find_pii(df).collect()] == [(1, ["email"])]
-
-
-def test_gradients_of_the_tagger_agree_with_differences():
-    rng = np.random.default_rng(0)
-    m = pii.BiLstmCrf(hidden=3)
-    m.p = {k: v.astype(np.float64) + rng.normal(0, 0.1, v.shape) for k, v in m.p.items()}
-    x, y = rng.integers(0, 90, (2, 5)).astype(np.int16), rng.integers(0, len(pii.TAGS), (2, 5)).astype(np.int8)
-    _, g = pii_train.gradients(m, x, y)
-    for name in ("trans", "start", "out_bias", "rec_f", "out_b"):
-        at = tuple(int(rng.integers(0, n)) for n in m.p[name].shape)
-        old = m.p[name][at]
-        m.p[name][at] = old + 1e-3
-        up = pii_train.gradients(m, x, y)[0]
-        m.p[name][at] = old - 1e-3
-        down = pii_train.gradients(m, x, y)[0]
-        m.p[name][at] = old
-        assert abs((up - down) / 2e-3 - g[name][at]) < 2e-2 * max(1, abs(g[name][at]))
-
-
-def test_tagger_holds_on_rows_it_was_not_trained_on():
-    """Held-out rows: the kinds found agree with the labelling rules."""
-    from pathlib import Path
-
-    import pandas as pd
-
-    path = Path("/root/testdata/check_s/moderation_examples.parquet")
-    if not path.exists():
-        pytest.skip("no test tables")
-    texts = pd.read_parquet(path, columns=["text"]).text.dropna().drop_duplicates().head(6000).tolist()
-    model = pii.default_model()
-    hit = extra = missed = 0
-    for t, s in zip(texts, pii.spans_of(texts, model)):
-        want = {k for *_, k in pii_train.label_spans(pii.plain_text(t)[0], model.given, model.common)}
-        got = {k for *_, k in s}
-        hit, extra, missed = hit + len(got & want), extra + len(got - want), missed + len(want - got)
-    assert hit > 100 and extra <= 0.02 * hit and missed <= 0.02 * hit
