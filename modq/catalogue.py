@@ -12,7 +12,7 @@ from .functions import schema, text
 from .functions.images import image_status
 from .operators import analysis, dedup, embed, leakage, metrics, split, validate
 from .plans import head, manifest, ml
-from .plans.prepare import dataset_version, with_ids
+from .plans.prepare import dataset_version, prepare, remediate_splits, with_ids
 from .sources.readers import expected_counts, load_target, table
 from .spread import spread
 from .streaming.dedup import arrivals
@@ -186,27 +186,31 @@ def label_distribution_multimodal(spark, d):
     return out.withColumn("positive_rate", r6("positive_rate"))
 
 
+# the frame header of a JPEG, segment by segment: marker and position, until a size marker or an end
+_BYTE = lambda at: f"CAST('0x' || substr(h, 2 * ({at}) + 1, 2) AS INT)"
+IMAGE_STATUS = f"""WITH RECURSIVE b AS (SELECT path, hex(content) AS h, octet_length(content) AS n FROM image_blobs),
+    w AS (SELECT path, h, n, 2 AS pos FROM b WHERE n >= 4 AND h LIKE 'FFD8%' UNION ALL
+      SELECT path, h, n, pos + CASE WHEN {_BYTE('pos + 1')} = 255 THEN 1 ELSE 2 + 256 * {_BYTE('pos + 2')} + {_BYTE('pos + 3')} END FROM w
+      WHERE pos + 9 <= n AND {_BYTE('pos')} = 255 AND NOT ({_BYTE('pos + 1')} BETWEEN 192 AND 207 AND {_BYTE('pos + 1')} NOT IN (196, 200, 204))),
+    f AS (SELECT DISTINCT path FROM w WHERE pos + 9 <= n AND {_BYTE('pos')} = 255 AND {_BYTE('pos + 1')} BETWEEN 192 AND 207 AND {_BYTE('pos + 1')} NOT IN (196, 200, 204)
+      AND substr(h, 2 * pos + 11, 4) <> '0000' AND substr(h, 2 * pos + 15, 4) <> '0000')
+    SELECT path, CASE WHEN h IS NULL THEN 'missing' WHEN path IN (SELECT path FROM f) THEN 'ok' ELSE 'corrupted' END AS status FROM b"""
+
+
 @query(
-    f"""WITH r AS (SELECT m.*, {VALID_MM} AS ok, {q.filled('text')} AS full_text, {q.filled('text')} AND coalesce(regexp_matches(text, '{ARABIC}'), false) AS ar,
-      {q.filled('text')} AND coalesce(contains(text, '�'), false) AS rep, b.path IS NOT NULL AS there
-      FROM {MM} m LEFT JOIN image_blobs b ON b.path = m.image_path WHERE split IN ('train', 'dev', 'test'))
+    f"""WITH RECURSIVE s AS ({IMAGE_STATUS}), r AS (SELECT m.*, {VALID_MM} AS ok, {q.filled('text')} AS full_text, {q.filled('text')} AND coalesce(regexp_matches(text, '{ARABIC}'), false) AS ar,
+      {q.filled('text')} AND coalesce(contains(text, '�'), false) AS rep, coalesce(b.status, 'missing') AS image
+      FROM {MM} m LEFT JOIN s b ON b.path = m.image_path WHERE split IN ('train', 'dev', 'test'))
     SELECT split AS split_name, count(*) AS total_rows, count(*) FILTER (ok) AS valid_rows, count(*) FILTER (NOT ok) AS malformed_rows, count(*) FILTER (NOT full_text OR rep) AS text_issues,
-      round(avg(CAST(ar AS DOUBLE)), 6) AS arabic_fraction, count(*) FILTER (ok AND NOT there) AS images_missing,
+      round(avg(CAST(ar AS DOUBLE)), 6) AS arabic_fraction, count(*) FILTER (ok AND image = 'ok') AS images_ok, count(*) FILTER (ok AND image = 'corrupted') AS images_corrupted, count(*) FILTER (ok AND image = 'missing') AS images_missing,
       round(coalesce(avg(CASE WHEN ok THEN hate_label END), 0), 6) AS positive_rate FROM r GROUP BY ROLLUP (split)"""
 )
 def multimodal_report(spark, d):
     out = validate.multimodal_report(table(spark, d, MM), table(spark, d, "image_blobs"))
-    out = out.drop("images_ok", "images_corrupted")
     return out.withColumns({c: r6(c) for c in ("arabic_fraction", "positive_rate")})
 
 
-@query()
-def multimodal_image_counts(spark, d):
-    out = validate.multimodal_report(table(spark, d, MM), table(spark, d, "image_blobs"))
-    return out.select("split_name", "valid_rows", "images_ok", "images_corrupted", "images_missing")
-
-
-@query()
+@query(IMAGE_STATUS)
 def image_checks(spark, d):
     return table(spark, d, "image_blobs").select("path", image_status(F.col("content")).alias("status"))
 
@@ -235,7 +239,16 @@ def duplicates_removed(spark, d):
     return dedup.removed_duplicates(rows, "content_id").select("row_idx", F.col("content_id").alias("id"), "first_row")
 
 
-@query()
+# rounds: a row with no earlier undecided row of its id or text stays (1); then undecided rows that share one with a row that stays go (2)
+@query(
+    f"""WITH RECURSIVE k AS (SELECT row_idx, CASE WHEN content_id IS NOT NULL THEN hash(content_id) END AS a, CASE WHEN text IS NOT NULL THEN hash(text) END AS b FROM {MOD}),
+    e AS (SELECT x.row_idx AS late, y.row_idx AS early FROM k x JOIN k y ON x.a = y.a AND y.row_idx < x.row_idx UNION SELECT x.row_idx, y.row_idx FROM k x JOIN k y ON x.b = y.b AND y.row_idx < x.row_idx),
+    t(row_idx, state, round) AS (SELECT row_idx, 0, 0 FROM k UNION ALL
+      SELECT t.row_idx, CASE WHEN t.state <> 0 THEN t.state WHEN coalesce(m.gone, false) THEN 2 WHEN NOT coalesce(m.open, false) THEN 1 ELSE 0 END, t.round + 1
+      FROM t LEFT JOIN (SELECT e.late, bool_or(u.state = 1) AS gone, bool_or(u.state = 0) AS open FROM e JOIN t u ON u.row_idx = e.early GROUP BY e.late) m ON m.late = t.row_idx
+      WHERE t.round < 400 AND EXISTS (SELECT 1 FROM t WHERE state = 0))
+    SELECT row_idx FROM t WHERE state = 1 AND round = (SELECT max(round) FROM t)"""
+)
 def greedy_dedup(spark, d):
     return dedup.greedy_keep(table(spark, d, MOD)).select("row_idx")
 
@@ -314,6 +327,19 @@ def remediate_removed(spark, d):
     return leakage.remediate(table(spark, d, MM))[1].select("row_idx")
 
 
+_TRAIN = f"SELECT count(*) AS original, count(*) FILTER (text IN {_BANNED}) AS removed FROM {MM} WHERE split = 'train'"
+
+
+@query(f"SELECT original, removed, original - removed AS final FROM ({_TRAIN})")
+def remediation_counts(spark, d):
+    return leakage.remediation_counts(table(spark, d, MM))
+
+
+@query(f"SELECT row_idx, split FROM {MM} WHERE split IN ('dev', 'test') OR split = 'train' AND (text IS NULL OR text NOT IN {_BANNED})")
+def remediated_splits(spark, d):
+    return remediate_splits(table(spark, d, MM)).select("row_idx", "split")
+
+
 _RATE = lambda s: f"coalesce(avg(CASE WHEN split = '{s}' AND hate_label IN (0, 1) THEN hate_label::DOUBLE END), 0)"
 
 
@@ -461,6 +487,25 @@ def complementarity_counts(spark, d):
     return out.withColumns({f"{m}_accuracy": r6(f"{m}_accuracy") for m in ("text", "image", "fusion")})
 
 
+@query(
+    f"""SELECT row_idx, CASE WHEN NOT t AND NOT i AND f THEN '{analysis.OUTCOMES[0]}' WHEN t AND NOT i AND NOT f THEN '{analysis.OUTCOMES[1]}' ELSE '{analysis.OUTCOMES[2]}' END AS outcome
+    FROM ({_RIGHT.replace('SELECT', 'SELECT row_idx,', 1)}) WHERE NOT t AND NOT i AND f OR t AND NOT i AND NOT f OR i AND NOT t AND NOT f"""
+)
+def complementarity_rows(spark, d):
+    return analysis.outcome_rows(table(spark, d, PRED))
+
+
+@query(
+    f"""WITH e AS (SELECT kind, row_idx, p FROM ((SELECT 'false_positive' AS kind, * FROM (SELECT DISTINCT * FROM {_P}) WHERE y_true = 0 AND p >= 0.5 ORDER BY p DESC, row_idx LIMIT 5)
+      UNION ALL (SELECT 'false_negative' AS kind, * FROM (SELECT DISTINCT * FROM {_P}) WHERE y_true = 1 AND p < 0.5 ORDER BY p, row_idx LIMIT 5))),
+    t AS (SELECT row_idx, image_path, replace({q.strip('text')}, chr(10), ' ') AS line FROM {MM})
+    SELECT kind, row_idx, p, image_path, CASE WHEN length(line) <= 100 THEN line ELSE regexp_replace(substring(line, 1, 100), '[{q.SPACE}]+$', '') || '...' END AS excerpt FROM e LEFT JOIN t USING (row_idx)"""
+)
+def error_topk_with_text_and_image(spark, d):
+    rows = table(spark, d, MM).select("row_idx", "image_path", text.excerpt(F.col("text")).alias("excerpt"))
+    return error_topk_fp_fn(spark, d).drop("y_true").join(rows, "row_idx", "left")
+
+
 @query(
     "SELECT round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95, round(quantile_cont(value, 0.99), 6) AS p99, round(avg(value), 6) AS mean, round(1000 / avg(value), 6) AS per_second, count(value) AS n FROM events"
 )
@@ -530,6 +575,31 @@ def dataset_content_hash(spark, d):
     return spark.createDataFrame([(manifest.content_hash(table(spark, d, MOD)),)], "content_hash string")
 
 
+_BITS = "('0x' || left(sha256(coalesce(content_id, '') || '|' || coalesce(text, '')), 15))::BIGINT"
+
+
+@query(f"SELECT count(*) AS n, bit_xor({_BITS}) AS xor, CAST(sum({_BITS}::HUGEINT) AS VARCHAR) AS total FROM {MOD}")
+def folded_content_hash(spark, d):
+    return manifest.folded_hash(table(spark, d, MOD))
+
+
+@query(
+    f"SELECT 'split:' || coalesce(split, '') AS key, count(*)::DOUBLE AS value FROM {MOD} GROUP BY split UNION ALL SELECT 'num_records', count(*)::DOUBLE FROM {MOD} UNION ALL "
+    + " UNION ALL ".join(f"SELECT 'share:{n}', round(coalesce(avg(CASE WHEN labels.{n} >= 0.5 THEN 1.0 WHEN labels.{n} IS NOT NULL THEN 0.0 END), 0), 6) FROM {MOD}" for n in LABELS)
+)
+def text_manifest_counts(spark, d):
+    return manifest.manifest_counts(table(spark, d, MOD)).withColumn("value", r6("value"))
+
+
+@query(
+    f"""WITH k AS ({_KEYS}), dup AS (SELECT kind FROM ({_LONG}) WHERE value IS NOT NULL GROUP BY kind, value HAVING count(*) > 1), leak AS ({LEAKS}), r AS ({_TRAIN})
+    SELECT 'duplicates:' || kind AS key, count(*) AS value FROM dup GROUP BY kind UNION ALL SELECT 'overlaps:' || pair || ':' || kind, count(*) FROM leak GROUP BY pair, kind
+    UNION ALL SELECT 'original', original FROM r UNION ALL SELECT 'removed', removed FROM r UNION ALL SELECT 'final', original - removed FROM r"""
+)
+def multimodal_manifest_counts(spark, d):
+    return manifest.multimodal_counts(multi_key_duplicates(spark, d), leakage_overlaps(spark, d), leakage.remediation_counts(table(spark, d, MM)))
+
+
 _TERMS = f"""WITH w AS (SELECT row_idx, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]{{2,}}') AS w FROM {MOD} WHERE split = 'train' AND text IS NOT NULL),
     t AS (SELECT row_idx, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS term FROM w),
     c AS (SELECT row_idx, term, count(*) AS tf FROM t GROUP BY ALL), n AS (SELECT count(*) AS n FROM w)

@@ -8,12 +8,15 @@ from pyspark.sql import DataFrame
 def cut(df: DataFrame) -> DataFrame:
     """Cut lineage with a reliable checkpoint.
 
-    The folder comes from ``spark.checkpoint.dir`` (shared storage on a cluster); only where that is unset, as in local tests,
-    a folder under the warehouse directory is used.
+    The folder comes from ``spark.checkpoint.dir`` (shared storage on a cluster).  Only a local master may do without: there a
+    folder under the warehouse directory is used; on a cluster a missing setting is an error, as executors could not read each
+    other's files.
     """
     spark = df.sparkSession
     sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
+        if not folder and not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(folder or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints")
     return df.checkpoint(eager=True)

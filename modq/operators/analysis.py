@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .rank import exact_quantiles
+
+# fixed values: names of the reported outcomes
 OUTCOMES = (
     "text_wrong_image_wrong_fusion_correct", "text_correct_image_wrong_fusion_wrong", "image_correct_text_wrong_fusion_wrong",
     "all_three_correct", "all_three_wrong",
@@ -43,9 +46,13 @@ def complementarity(df: DataFrame, threshold: float = 0.5) -> DataFrame:
     )
 
 
+def outcome_rows(df: DataFrame, threshold: float = 0.5, order: str = "row_idx") -> DataFrame:
+    """``order, outcome``: the rows of the outcomes in which the models differ."""
+    return with_outcome(df, threshold).where(F.col("outcome").isin(*OUTCOMES[:3])).select(order, "outcome")
+
+
 def latency_summary(df: DataFrame, column: str) -> DataFrame:
     """Percentiles with linear interpolation, mean and throughput per second for times in milliseconds."""
-    return df.where(F.col(column).isNotNull()).agg(
-        *[F.percentile(column, F.lit(q)).alias(f"p{round(q * 100)}") for q in (0.5, 0.95, 0.99)], F.avg(column).alias("mean"),
-        F.when(F.avg(column) != 0, 1000 / F.avg(column)).alias("per_second"), F.count(column).alias("n"),
-    )
+    rows = df.where(F.col(column).isNotNull())
+    mean = rows.agg(F.avg(column).alias("mean"), F.when(F.avg(column) != 0, 1000 / F.avg(column)).alias("per_second"), F.count(column).alias("n"))
+    return exact_quantiles(rows, column, (0.5, 0.95, 0.99)).withColumnsRenamed({"q0": "p50", "q1": "p95", "q2": "p99"}).crossJoin(F.broadcast(mean))  # one row each

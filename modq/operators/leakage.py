@@ -39,6 +39,13 @@ def remediate(df: DataFrame, key: str = "text", train: str = "train", held_out:
     return own.join(banned, key, "left_anti"), own.join(banned, key, "left_semi")
 
 
+def remediation_counts(df: DataFrame, key: str = "text", train: str = "train", held_out: tuple[str, ...] = ("dev", "test"), split: str = "split") -> DataFrame:
+    """One row: train rows before, removed, and left."""
+    own, (kept, _) = df.where(F.col(split) == train), remediate(df, key, train, held_out, split)
+    one = own.agg(F.count("*").alias("original")).crossJoin(F.broadcast(kept.agg(F.count("*").alias("final"))))  # one row each
+    return one.select("original", (F.col("original") - F.col("final")).alias("removed"), "final")
+
+
 def positive_rates(df: DataFrame, label: str = "hate_label", split: str = "split") -> DataFrame:
     return df.groupBy(split).agg(F.coalesce(F.avg(F.col(label).cast("double")), F.lit(0.0)).alias("positive_rate"), F.count("*").alias("n"))
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .rank import running_sums
 
+# fixed values: swept thresholds and names of metrics in reports
 THRESHOLDS = (0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9)
 NAMES = ("accuracy", "precision", "recall", "f1", "macro_f1", "false_positive_rate", "false_negative_rate", "positive_prediction_rate")
 

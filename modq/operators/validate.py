@@ -14,11 +14,20 @@ _KINDS_OF_NUMBERS = ("BIGINT", "DOUBLE", "BOOLEAN", "FLOAT")
 
 
 def _kind(field: str) -> Column:
-    return F.expr(f"schema_of_variant(try_variant_get(v, '$.{field}', 'variant'))")
+    return F.col(f"kind_{field}")
 
 
 def _text(field: str) -> Column:
-    return F.expr(f"try_variant_get(v, '$.{field}', 'string')")
+    return F.col(f"text_{field}")
+
+
+def _fields() -> dict[str, Column]:
+    """Kind and text of every field of the variant ``v``, extracted once."""
+    out = {}
+    for f in RAW_FIELDS:
+        out[f"kind_{f}"] = F.expr(f"schema_of_variant(try_variant_get(v, '$.{f}', 'variant'))")
+        out[f"text_{f}"] = F.expr(f"try_variant_get(v, '$.{f}', 'string')")
+    return out
 
 
 def _is_number(field: str) -> Column:
@@ -28,8 +37,8 @@ def _is_number(field: str) -> Column:
 
 
 def _number(field: str) -> Column:
-    boolean = F.when(_kind(field) == "BOOLEAN", F.expr(f"try_variant_get(v, '$.{field}', 'boolean')").cast("double"))
-    return F.coalesce(boolean, F.expr(f"try_cast(replace(trim(try_variant_get(v, '$.{field}', 'string')), '_', '') AS double)"))
+    boolean = F.when(_kind(field) == "BOOLEAN", (_text(field) == "true").cast("double"))
+    return F.coalesce(boolean, F.replace(F.trim(_text(field)), F.lit("_"), F.lit("")).try_cast("double"))
 
 
 def classify_raw(rows: DataFrame, payload: str = "payload") -> DataFrame:
@@ -38,8 +47,9 @@ def classify_raw(rows: DataFrame, payload: str = "payload") -> DataFrame:
     Malformed: no JSON object, a missing field, text that is no string, a score that is no number.  Invalid: blank text or a
     score out of range.  Nothing is coerced silently; further keys are ignored.
     """
-    parsed = rows.withColumn("v", F.try_parse_json(payload))
-    is_object = F.coalesce(F.expr("schema_of_variant(v) LIKE 'OBJECT%'"), F.lit(False))
+    names = [f"{p}_{f}" for f in RAW_FIELDS for p in ("kind", "text")]
+    variant = rows.withColumn("v", F.try_parse_json(payload)).withColumn("is_object", F.coalesce(F.expr("schema_of_variant(v) LIKE 'OBJECT%'"), F.lit(False)))
+    parsed, is_object = variant.withColumns(_fields()), F.col("is_object")
     missing = F.filter(F.array(*[F.when(F.coalesce(_kind(f), F.lit("VOID")) == "VOID", F.lit(f"missing field: {f}")) for f in RAW_FIELDS]), F.isnotnull)
     not_text = F.coalesce(_kind("text") != "STRING", F.lit(False))
     not_number = F.filter(F.array(*[F.when(~_is_number(f), F.lit(f"not a number: {f}")) for f in LABELS]), F.isnotnull)
@@ -60,10 +70,10 @@ def classify_raw(rows: DataFrame, payload: str = "payload") -> DataFrame:
     )
     ok = F.col("status") == "valid"
     return (
-        parsed.withColumn("status", status).withColumn("reasons", reasons)
+        parsed.withColumns({"status": status, "reasons": reasons})
         .withColumn("text", F.when(ok, _text("text"))).withColumn("content_id", content_id(F.col("text")))
         .withColumn("labels", F.when(ok, F.struct(*[_number(f).alias(f) for f in LABELS])))
-        .drop("v")
+        .drop("v", "is_object", *names)
     )
 
 

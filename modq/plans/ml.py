@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..operators.metrics import at_least
 from ..spread import spread
-from .config import TextModel
+from .config import settings
 
 TOKEN = r"[\\p{L}\\p{N}_]{2,}"
 
@@ -28,17 +28,17 @@ def with_terms(docs: DataFrame) -> DataFrame:
     return docs.withColumn("w", words).withColumn("terms", F.concat("w", pairs)).drop("w")
 
 
-def vocabulary(docs: DataFrame, config: TextModel = TextModel()) -> DataFrame:
+def vocabulary(docs: DataFrame, config: dict | None = None) -> DataFrame:
     """``term, df, cf, idf``: the most frequent terms of the training documents within the document frequency bounds.
 
     Counts are combined before the one shuffle by term; documents themselves are not shuffled.
     """
-    n, t = docs.count(), config.tfidf
+    n, t = docs.count(), config or settings()
     terms = with_terms(spread(docs.where("text IS NOT NULL").select("text"))).select("terms")
     in_docs = terms.select(F.explode(F.array_distinct("terms")).alias("term"), F.lit(1).alias("df"), F.lit(0).alias("cf"))
     in_all = terms.select(F.explode("terms").alias("term"), F.lit(0).alias("df"), F.lit(1).alias("cf"))
     stats = in_docs.unionByName(in_all).groupBy("term").agg(F.sum("df").alias("df"), F.sum("cf").alias("cf"))
-    kept = stats.where((F.col("df") >= t.min_df) & (F.col("df") <= F.lit(t.max_df * n))).orderBy(F.desc("cf"), "term").limit(t.max_features)
+    kept = stats.where((F.col("df") >= t["tfidf.min_df"]) & (F.col("df") <= F.lit(t["tfidf.max_df"] * n))).orderBy(F.desc("cf"), "term").limit(t["tfidf.max_features"])
     return kept.withColumn("idf", F.log((1.0 + n) / (1.0 + F.col("df"))) + 1.0)
 
 
@@ -75,20 +75,21 @@ class TermModel:
         return TermModel([(r.term, r.idf) for r in rows], LogisticRegressionModel.load(f"{folder}/regression"))
 
 
-def fit(docs: DataFrame, config: TextModel = TextModel()) -> TermModel:
+def fit(docs: DataFrame, config: dict | None = None) -> TermModel:
     """Fit on ``id, text, y`` rows; nothing but these rows shapes vocabulary and weights.
 
     ``regParam`` is 1 / (C * sum of row weights), which makes the objective that of the usual C; classes are balanced.
     """
+    config = config or settings()
     terms = [(r.term, r.idf) for r in vocabulary(docs, config).collect()]  # bounded by max_features
     per = {r.y: r.n for r in docs.groupBy("y").agg(F.count("*").alias("n")).collect()}  # two rows
     n = sum(per.values())
-    balanced = config.logistic_regression.class_weight == "balanced"
+    balanced = config["logistic_regression.class_weight"] == "balanced"
     weight = {k: n / (2 * max(c, 1)) if balanced else 1.0 for k, c in per.items()}
     of_row = F.create_map(*[F.lit(x) for k, w in weight.items() for x in (k, w)])[F.col("y")]
     model = LogisticRegression(
-        featuresCol="features", labelCol="y", weightCol="row_weight", maxIter=config.logistic_regression.max_iter,
-        regParam=1 / (config.logistic_regression.C * max(sum(weight[k] * c for k, c in per.items()), 1.0)), standardization=False,
+        featuresCol="features", labelCol="y", weightCol="row_weight", maxIter=config["logistic_regression.max_iter"],
+        regParam=1 / (config["logistic_regression.C"] * max(sum(weight[k] * c for k, c in per.items()), 1.0)), standardization=False,
     )
     blank = TermModel(terms, None)
     rows = blank.features(spread(docs.select("text", "y"))).select("features", "y", of_row.alias("row_weight")).persist(StorageLevel.MEMORY_AND_DISK)

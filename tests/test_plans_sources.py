@@ -65,11 +65,16 @@ def test_writing_twice_needs_force(spark, tmp_path):
     assert (tmp_path / "r.json").read_text(encoding="utf-8").startswith('{\n  "a": "é"')
 
 
-def test_settings():
-    c = config.build(config.TextModel, {"model_version": "v2", "tfidf": {"min_df": 1, "ngram_range": [1, 2]}})
-    assert c.model_version == "v2" and c.tfidf.min_df == 1 and c.decision_threshold.selection_metric == "f1"
+def test_settings(tmp_path):
+    c = config.settings("terms", {"model_version": "v2", "tfidf": {"min_df": 1, "ngram_range": [1, 2]}})
+    assert c["model_version"] == "v2" and c["tfidf.min_df"] == 1 and c["tfidf.ngram_range"] == (1, 2) and c["decision_threshold.selection_metric"] == "f1"
+    for wrong in ({"nope": 1}, {"tfidf": {"min_df": 1.5}}, {"tfidf": {"sublinear_tf": "perhaps"}}):
+        with pytest.raises(ValueError):
+            config.settings("terms", wrong)
+    (tmp_path / "run.yaml").write_text("log_level: DEBUG\n", encoding="utf-8")
+    assert config.run_settings(str(tmp_path / "run.yaml"), {"MODQ_ENVIRONMENT": "staging"}) == {"log_level": "DEBUG", "environment": "staging"}
     with pytest.raises(ValueError):
-        config.build(config.TextModel, {"nope": 1})
+        config.run_settings(None, {"MODQ_ENVIRONMENT": "moon"})
     assert SplitConfig().seed == 42
 
 

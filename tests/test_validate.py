@@ -75,7 +75,8 @@ def test_registered_picture_counts(spark, tmp_path):
     reduce(DataFrame.unionByName, rows).write.parquet(f"{tmp_path}/multimodal_examples.parquet")
     blobs = spark.createDataFrame([("a.jpg", head), ("b.jpg", bytearray(b"garbage"))], "path string, content binary")
     blobs.write.parquet(f"{tmp_path}/image_blobs.parquet")
-    got = {tuple(r) for r in catalogue.QUERIES["multimodal_image_counts"](spark, str(tmp_path)).collect()}
+    report = catalogue.QUERIES["multimodal_report"](spark, str(tmp_path))
+    got = {tuple(r) for r in report.select("split_name", "valid_rows", "images_ok", "images_corrupted", "images_missing").collect()}
     assert got == {("train", 4, 2, 1, 1), (None, 4, 2, 1, 1)}
 
 
