@@ -16,6 +16,7 @@ language is given.  Texts are processed whole.
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,9 +25,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.sample import bounded_sample
-from .abuse import _MARKS
+from .abuse import _one_form
 from .base import map_batches, nonblank, spread
-from .lookalike import _TO_ARABIC, _TO_LATIN, plain_form
 
 SAMPLE_ROWS = 8_000
 SEED = 5
@@ -50,6 +50,7 @@ SPELLED = {s: code for code, spellings in LABELS.items() for s in spellings}
 
 _SKIP = re.compile(r"(?<!\w)[@#]\w+")
 _WORD = re.compile(r"[^\W_]+(?:['’][^\W_]+)?")
+_SEPARATE = re.compile("[\u0300-\u036f\u0653-\u0655]")
 _ARABIC = re.compile("[؀-ۿ]")
 
 
@@ -76,8 +77,10 @@ def text_words(text: str | None) -> list[str]:
     """Words in one form of characters, without handles, hashtags and numbers."""
     if not text:
         return []
-    t = text if text.isascii() else _MARKS.sub("", plain_form(text)).replace("‌", "").translate(_TO_LATIN).translate(_TO_ARABIC)
-    return [w for w in _WORD.findall(_SKIP.sub(" ", t).casefold()) if not w.isdigit()]
+    if not text.isascii():
+        text = text.translate(_one_form())  # one table for all: compatibility forms, invisible characters, vowel marks, look-alikes
+        text = unicodedata.normalize("NFC", text) if _SEPARATE.search(text) else text
+    return [w for w in _WORD.findall(_SKIP.sub(" ", text).casefold()) if not w.isdigit()]
 
 
 def word_features(w: str) -> list[int]:
@@ -122,57 +125,102 @@ class Coder:
                 self.known_costs[w] = c
         return c
 
+    def batch_costs(self, lists: list[list[str]]) -> np.ndarray:
+        """Costs of all words of several texts, one after the other; every distinct word is scored once."""
+        index: dict[str, int] = {}
+        ids = np.array([index.setdefault(w, len(index)) for ws in lists for w in ws], dtype=np.int64)
+        new = [w for w in index if w not in self.known_costs]
+        for lo in range(0, len(new), 20_000):
+            part = [word_features(w) for w in new[lo : lo + 20_000]]
+            begins = np.cumsum([0, *map(len, part[:-1])])
+            margins = np.add.reduceat(self.weights[np.array([f for fs in part for f in fs])], begins, axis=0)
+            c = self.costs(margins + self.bias)
+            c = np.minimum(c - c.min(1, keepdims=True), MOST_SAY)
+            if len(self.known_costs) > 200_000:  # a cache, not a limit
+                self.known_costs = {w: self.known_costs[w] for w in index if w in self.known_costs}
+            self.known_costs.update(zip(new[lo : lo + 20_000], c))
+        return np.array([self.known_costs[w] for w in index])[ids] if index else np.zeros((0, len(CLASSES)))
+
+    def batch_segments(self, lists: list[list[str]]) -> tuple[list[list[tuple[int, int, int, float]]], np.ndarray]:
+        """(first word, words, class, confidence) of each text's maximal runs in one language, and each text's whole costs."""
+        cost = self.batch_costs(lists)
+        sizes = np.array([len(ws) for ws in lists], dtype=np.int64)
+        ends, some = np.cumsum(sizes), np.flatnonzero(sizes)
+        whole = np.zeros((len(lists), len(CLASSES)))
+        if len(some):
+            whole[some] = np.add.reduceat(cost, (ends - sizes)[some], axis=0)
+        best = whole.argmin(1)
+        least = whole.min(1)
+        conf = 1 / np.exp(np.clip(least[:, None] - whole, -50, 50)).sum(1)
+        out: list[list[tuple[int, int, int, float]]] = [[] for _ in lists]
+        for k in some[least[some] <= CHANGE].tolist():  # every word's cheapest class costs 0, so no change can pay
+            out[k] = [(0, int(sizes[k]), int(best[k]), float(conf[k]))]
+        hard = some[least[some] > CHANGE]
+        hard = hard[np.argsort(sizes[hard], kind="stable")]
+        for lo in range(0, len(hard), 256):
+            for k, path in zip(hard[lo : lo + 256].tolist(), self._paths(cost, (ends - sizes)[hard[lo : lo + 256]], sizes[hard[lo : lo + 256]])):
+                own = cost[ends[k] - sizes[k] : ends[k]]
+                begins = np.flatnonzero(np.concatenate([[True], path[1:] != path[:-1]]))
+                sums = np.add.reduceat(own, begins, axis=0)
+                n = np.diff(np.append(begins, len(path)))
+                chosen = path[begins]
+                c = 1 / np.exp(np.clip(sums[np.arange(len(begins)), chosen][:, None] - sums, -50, 50)).sum(1)
+                out[k] = list(zip(begins.tolist(), n.tolist(), chosen.tolist(), c.tolist()))
+        return out, whole
+
+    @staticmethod
+    def _paths(cost: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> list[np.ndarray]:
+        """Cheapest class of every word of several texts (shortest first), where a change costs ``CHANGE``."""
+        n, steps = len(sizes), int(sizes[-1])
+        total, back = cost[starts].copy(), np.full((steps, n, len(CLASSES)), -1, np.int8)
+        for t in range(1, steps):
+            on = int(np.searchsorted(sizes, t, side="right"))  # texts from here on have a word t
+            now = total[on:]
+            least = now.argmin(1)
+            move = now[np.arange(n - on), least] + CHANGE
+            back[t, on:] = np.where(now <= move[:, None], -1, least[:, None])
+            total[on:] = np.minimum(now, move[:, None]) + cost[starts[on:] + t]
+        path, now = np.zeros((steps, n), np.int8), total.argmin(1)
+        for t in range(steps - 1, -1, -1):
+            path[t] = now
+            step = back[t, np.arange(n), now]
+            now = np.where((step >= 0) & (sizes > t), step, now)
+        return [path[:s, k].astype(np.int64) for k, s in enumerate(sizes.tolist())]
+
     def segments(self, text: str | None) -> list[tuple[int, int, int, float]]:
-        """(first word, words, class, confidence) of a text's maximal runs in one language."""
         return self.word_segments(text_words(text))
 
     def word_segments(self, ws: list[str]) -> list[tuple[int, int, int, float]]:
-        if not ws:
-            return []
-        cost = np.array([self.word_cost(w) for w in ws])
-        whole = cost.sum(0)
-        best = int(whole.argmin())
-        if whole[best] <= CHANGE:  # every word's cheapest class costs 0, so no change can pay
-            return [(0, len(ws), best, float(1 / np.exp(np.clip(whole[best] - whole, -50, 50)).sum()))]
-        total, back = cost[0].copy(), []
-        for c in cost[1:]:
-            stay, move = total, total.min() + CHANGE
-            back.append(np.where(stay <= move, -1, int(total.argmin())))
-            total = np.minimum(stay, move) + c
-        path = [int(total.argmin())]
-        for b in reversed(back):
-            path.append(path[-1] if b[path[-1]] < 0 else int(b[path[-1]]))
-        path.reverse()
-        out, start = [], 0
-        for i in range(1, len(path) + 1):
-            if i == len(path) or path[i] != path[start]:
-                own = cost[start:i].sum(0)
-                out.append((start, i - start, path[start], float(1 / np.exp(np.clip(own[path[start]] - own, -50, 50)).sum())))
-                start = i
-        return out
+        return self.batch_segments([ws])[0][0]
 
-    def languages(self, text: str | None) -> list[tuple[str, int, float, bool]]:
-        """(language, words, confidence, ambiguous) of a text: of every language with a segment, or the nearest one of a short text."""
-        by: dict[str, list[tuple[int, float]]] = {}
-        ws = text_words(text)
-        found = self.word_segments(ws)
-        for _, n, k, conf in found:
-            if n >= LEAST_SEGMENT:
-                by.setdefault(CLASSES[k].split("_")[0], []).append((n, conf))
-        if not by and found:
-            cost = np.sum([self.word_cost(w) for w in ws], axis=0)
-            order = np.argsort(cost)
-            conf = float(1 / np.exp(np.clip(cost[order[0]] - cost, -50, 50)).sum())
-            return [(CLASSES[order[0]].split("_")[0], len(ws), conf, bool(cost[order[1]] - cost[order[0]] < AMBIGUOUS))]
+    def batch_languages(self, texts: list[str | None]) -> list[list[tuple[str, int, float, bool]]]:
+        """(language, words, confidence, ambiguous) of each text: of every language with a segment, or the nearest one of a short text."""
+        lists = [text_words(t) for t in texts]
+        parts, whole = self.batch_segments(lists)
         out = []
-        for lang, parts in by.items():
-            n = sum(p for p, _ in parts)
-            conf = sum(p * c for p, c in parts) / n
-            out.append((lang, n, conf, conf < 0.9))
+        for ws, found, cost in zip(lists, parts, whole):
+            by: dict[str, list[tuple[int, float]]] = {}
+            for _, n, k, conf in found:
+                if n >= LEAST_SEGMENT:
+                    by.setdefault(CLASSES[k].split("_")[0], []).append((n, conf))
+            if not by and found:
+                order = np.argsort(cost)
+                conf = float(1 / np.exp(np.clip(cost[order[0]] - cost, -50, 50)).sum())
+                out.append([(CLASSES[order[0]].split("_")[0], len(ws), conf, bool(cost[order[1]] - cost[order[0]] < AMBIGUOUS))])
+                continue
+            own = []
+            for lang, some in by.items():
+                n = sum(p for p, _ in some)
+                conf = sum(p * c for p, c in some) / n
+                own.append((lang, n, conf, conf < 0.9))
+            out.append(own)
         return out
 
+    def languages(self, text: str | None) -> list[tuple[str, int, float, bool]]:
+        return self.batch_languages([text])[0]
+
 
-def _fit(ids: np.ndarray, starts: np.ndarray, target: np.ndarray, vocab: list[str], code: np.ndarray, steps: int = 50) -> Coder:
+def _fit(ids: np.ndarray, starts: np.ndarray, target: np.ndarray, vocab: list[str], code: np.ndarray, steps: int = 90) -> Coder:
     """Bit classifiers over windows of words: ``ids`` are the windows' words one after the other, ``starts`` their begins."""
     feats = [word_features(w) for w in vocab]
     sizes = np.array([len(f) for f in feats])
@@ -227,6 +275,7 @@ def fit_coder(rows: list[tuple[str, str]]) -> Coder | None:
     ids, starts, y = np.array(ids), np.array(starts), np.array(target)
     first = _fit(ids, starts, y, words, code)
     margins = np.array([first.word_margins(w) for w in words]) + first.bias
+    first.known.clear()
     costs = np.add.reduceat(first.costs(margins)[ids], starts)
     keep = np.flatnonzero(costs[np.arange(len(y)), y] - costs.min(1) < 3.0)
     if not len(keep):
@@ -256,8 +305,7 @@ def detect(rows: DataFrame, coder: Coder | None, id_col: str = "row_idx") -> Dat
         own = Coder(*shared.value)
         for b in batches:
             at, out = [], []
-            for i, text in enumerate(b.column(2).to_pylist()):
-                langs = own.languages(text)
+            for i, langs in enumerate(own.batch_languages(b.column(2).to_pylist())):
                 at.extend([i] * len(langs))
                 out.extend((*x, len(langs)) for x in langs)
             take = pa.array(at, pa.int64())
@@ -281,7 +329,8 @@ def segments(rows: DataFrame, coder: Coder | None, id_col: str = "row_idx") -> D
 
     def batch(cols: dict[str, list]) -> dict[str, list]:
         own = Coder(*shared.value)
-        found = [(key, first, n, CLASSES[k].split("_")[0], conf) for key, text in zip(cols[id_col], cols["text"]) for first, n, k, conf in own.segments(text) if n >= LEAST_SEGMENT]
+        parts, _ = own.batch_segments([text_words(t) for t in cols["text"]])
+        found = [(key, first, n, CLASSES[k].split("_")[0], conf) for key, own_parts in zip(cols[id_col], parts) for first, n, k, conf in own_parts if n >= LEAST_SEGMENT]
         return dict(zip((id_col, "first_word", "n_words", "lang", "confidence"), zip(*found))) if found else {c: [] for c in (id_col, "first_word", "n_words", "lang", "confidence")}
 
     return map_batches(spread(rows.where(nonblank("text") & F.col(id_col).isNotNull()).select(id_col, "text")), batch, schema)
