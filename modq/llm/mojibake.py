@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import unicodedata
 from functools import lru_cache
 
 from pyspark.sql import DataFrame
@@ -32,7 +33,6 @@ SEQUENCE = (
     rb"|\xf0[\x90-\xbf][\x80-\xbf]{2}|[\xf1-\xf3][\x80-\xbf]{3}|\xf4[\x80-\x8f][\x80-\xbf]{2})"
 )
 SPAN = re.compile(SEQUENCE + rb"+")
-MAX_ROUNDS = 4
 
 
 @lru_cache(maxsize=None)
@@ -73,7 +73,7 @@ NEVER_AFTER_LETTERS = "ˆ†‡‰ƒ„‚€œ¢¥¦§¨©¬®¯±²³´µ¶·
 
 
 def plausible(decoded: str, shown: str, codec: str) -> bool:
-    """Decoded spans must be characters of ``TEXT_RANGES`` (C1 controls may come from text garbled twice).
+    """Decoded spans must be characters of ``TEXT_RANGES`` (or of the page itself, in text garbled twice) or words of another script.
 
     In pages of other scripts (cp1256, cp1251) two letters of a real word can form one sequence by chance, so there a span needs two
     sequences or a continuation that no word has.
@@ -81,7 +81,11 @@ def plausible(decoded: str, shown: str, codec: str) -> bool:
     latin_page = codec not in SCRIPT_PAGES
     if len(decoded) < 2 and not latin_page and shown[-1] not in NEVER_AFTER_LETTERS:
         return False
-    return all(any(lo <= ord(c) <= hi for lo, hi in TEXT_RANGES) or latin_page and "\x80" <= c <= "\x9f" for c in decoded)
+    table = to_bytes_table(codec) if latin_page else {}  # what text garbled once more consists of
+    if all(any(lo <= ord(c) <= hi for lo, hi in TEXT_RANGES) or ord(c) in table for c in decoded):
+        return True
+    # another script: at least two of its letters, and nothing but letters and marks
+    return latin_page and sum(c.isalpha() for c in decoded) >= 2 and all(c.isalpha() or unicodedata.category(c)[0] in "MNPZ" for c in decoded)
 
 
 def decode_spans(text: str, codec: str) -> tuple[int, str]:
@@ -130,6 +134,14 @@ def decode_arabic_runs(text: str) -> tuple[int, str]:
     return used, "".join([*out, text[last:]])
 
 
+def _undone(text: str, codec: str) -> tuple[int, str]:
+    """How often a text has spans of one code page, and the text without them."""
+    rounds = 0
+    while (found := decode_spans(text, codec))[0]:
+        rounds, text = rounds + 1, found[1]
+    return rounds, text
+
+
 def restore(text: str | None) -> tuple[bool, str | None]:
     """(affected, restored text or None if characters were lost)."""
     if not text or text.isspace() or text.isascii():
@@ -137,12 +149,15 @@ def restore(text: str | None) -> tuple[bool, str | None]:
     if "�" in text:
         return True, None
     now = text
-    for _ in range(MAX_ROUNDS):
+    while True:  # every round makes the text shorter
         # the reading that explains most characters; multibyte structure goes first among equals
         used, better = max((*(decode_spans(now, codec) for codec in MISREAD_AS), decode_arabic_runs(now)), key=lambda x: x[0])
         if not used:
             break
         now = better
+    # text garbled several times by one reader: its code page, applied again and again, undoes more than a mixture does
+    again = (_undone(text, codec) for codec in MISREAD_AS if codec not in SCRIPT_PAGES)
+    now = min((now, *(t for rounds, t in again if rounds > 1)), key=len)
     if now == text:
         return False, None
     return True, None if "�" in now else now

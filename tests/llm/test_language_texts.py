@@ -14,6 +14,11 @@ def test_round_trips_of_garbling():
             garbled = "".join(bytes([b]).decode(codec, "strict") if _known(codec, b) else chr(b) for b in t.encode())
             assert mojibake.restore(garbled) == (True, t), (codec, t)
         assert mojibake.restore(t) == (False, None)
+    for t in ("Привет мир", "שלום עולם", "こんにちは", "Γειά σου", "你好世界", "안녕하세요", "café"):
+        now = t
+        for _ in range(6 if t == "café" else 2):
+            now = "".join(bytes([b]).decode("cp1252") if _known("cp1252", b) else chr(b) for b in now.encode())
+            assert mojibake.restore(now) == (True, t)
     twice = "é".encode().decode("cp1252").encode().decode("cp1252")
     assert mojibake.restore(f"caf{twice}") == (True, "café")
     assert mojibake.restore("ÇáãÚáÞ ÔÇåÏ ÊÞÑíÑ") == (True, "المعلق شاهد تقرير")
