@@ -8,9 +8,9 @@ Defined results: null and blank texts and payloads that are no JSON object with
 text of punctuation only equals every other such text; rows without ``row_idx`` are left out; exact copies count.
 Texts are processed whole, in slices of bounded size.
 
-Scale: the grouping shuffles 24 bytes a row with map-side combine.  Groups of ``HOT_ROWS`` rows or more are joined by a
-broadcast of their keys, whose number is counted first (at most rows / HOT_ROWS), and the comparison is salted by group
-size, so no task gets a whole hot group.
+Scale: the grouping shuffles 24 bytes a row with map-side combine.  Groups of ``HOT_ROWS`` rows or more (and of
+more than rows / MAX_BROADCAST_KEYS) are joined by a broadcast of their keys, of which there are at most MAX_BROADCAST_KEYS at any
+size, and the comparison is salted by group size, so no task gets a whole hot group.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from .base import cut, nonblank, spread
 
 HOT_ROWS = 20_000
-MAX_BROADCAST_KEYS = 200_000
+MAX_BROADCAST_KEYS = 100_000
 SLICE_CHARS = 1_000_000
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 
@@ -163,16 +163,12 @@ def layout_groups(rows: DataFrame) -> DataFrame:
     """``row_idx, first_row_idx, n``: every row of a group of two or more, with the group's smallest row and its size."""
     hashed = with_hashes(rows)
     reps = cut(hashed.groupBy("h1", "h2").agg(F.min("row_idx").alias("first_row_idx"), F.count("*").alias("n")).where("n > 1"))
-    hot = reps.where(F.col("n") >= HOT_ROWS)
-    n_hot = hot.count()
-    if 0 < n_hot <= MAX_BROADCAST_KEYS:
-        members = hashed.join(F.broadcast(hot), ["h1", "h2"]).unionByName(
-            hashed.join(F.broadcast(hot.select("h1", "h2")), ["h1", "h2"], "left_anti").join(
-                reps.where(F.col("n") < HOT_ROWS), ["h1", "h2"]
-            )
-        )
-    else:
-        members = hashed.join(reps, ["h1", "h2"])
+    # a group is hot from HOT_ROWS rows on, or from a fixed part of all rows, so at most MAX_BROADCAST_KEYS groups are hot at any size
+    limit = max(HOT_ROWS, reps.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] // MAX_BROADCAST_KEYS)
+    hot = reps.where(F.col("n") >= limit)
+    members = hashed.join(F.broadcast(hot), ["h1", "h2"]).unionByName(
+        hashed.join(F.broadcast(hot.select("h1", "h2")), ["h1", "h2"], "left_anti").join(reps.where(F.col("n") < limit), ["h1", "h2"])
+    ) if not hot.isEmpty() else hashed.join(reps, ["h1", "h2"])
     members = members.select("row_idx", "text", "first_row_idx", "n")
     salts = F.ceil(F.col("n") / HOT_ROWS).cast("int")
     firsts = members.where("row_idx = first_row_idx").select(
