@@ -6,7 +6,7 @@ passages; intervals above the threshold are reported.
 Sharding: texts are winnowed over rolling hashes of ``GRAM`` characters with a window of ``length - GRAM + 1``, so every shared
 span of ``length`` characters holds a common anchor.  Anchors that occur in two or more different texts send the passage around
 them (all spans of the threshold's length that hold the anchor lie in it) to the anchor's shard.  A shard's index is built over
-its passages by prefix doubling up to ``DEPTH`` characters, which is exact for patterns of that length; blocks of half the
+its passages by prefix doubling up to ``DEPTH`` characters or half the threshold, if that is more, which is exact for patterns of that length; blocks of half the
 threshold are searched backwards, and only those found elsewhere are extended to maximal spans.
 
 Copies of whole texts are collapsed first.  A hot anchor's passages are cut into blocks of ``HOT_PASSAGES``, and each pair of
@@ -117,7 +117,7 @@ class WaveletTree:
 class FmIndex:
     """Index of several texts joined by a separator that no pattern holds."""
 
-    def __init__(self, texts: list[np.ndarray]) -> None:
+    def __init__(self, texts: list[np.ndarray], depth: int = DEPTH) -> None:
         sizes = np.array([len(t) for t in texts], dtype=np.int64)
         self.start = np.cumsum(sizes + 1) - (sizes + 1)
         alphabet = np.unique(np.concatenate(texts))
@@ -133,7 +133,7 @@ class FmIndex:
             fresh = np.concatenate([[0], np.cumsum(key[1:] != key[:-1])])
             rank = np.empty(n, np.int64)
             rank[order] = fresh
-            if fresh[-1] == n - 1 or k >= DEPTH:
+            if fresh[-1] == n - 1 or k >= depth:
                 break
             k *= 2
         self.suffixes = order
@@ -168,8 +168,8 @@ def shared_in_shard(passages: pd.DataFrame, length: int = LENGTH) -> pd.DataFram
     ids, offset = passages["class_id"].to_numpy(np.int64), passages["at"].to_numpy(np.int64)
     if len(set(ids.tolist())) < 2:
         return empty
-    index = FmIndex(texts)
     half = length // 2
+    index = FmIndex(texts, max(DEPTH, half))
     ends = np.concatenate([s + np.arange(half, len(t) + 1, half) for t, s in zip(texts, index.start.tolist())])
     alive, lo, hi = index.search_back(ends, half)
     sums = prefix_sums(index.symbols.astype(np.uint32))

@@ -163,3 +163,16 @@ def test_queries_with_sql_agree_with_it(spark):
         got = q.QUERIES[name](spark, str(data)).toPandas()
         want = con.sql(sql).df()[list(got.columns)]
         assert sorted(map(tuple, got.values.tolist())) == sorted(map(tuple, want.values.tolist())), name
+
+
+def test_thresholds_beyond_the_sorted_depth_lose_nothing():
+    rng = random.Random(5)
+    common = ["".join(rng.choice("ab cdefgh") for _ in range(1300)) for _ in range(4)]
+    texts = []
+    for _ in range(12):
+        filler = lambda n: "".join(rng.choice("ijkl mnop") for _ in range(n))
+        texts.append(filler(rng.randint(100, 400)) + rng.choice(common) + filler(200) + rng.choice(common)[: rng.randint(1100, 1300)] + filler(300))
+    got = ss.shared_in_shard(pd.DataFrame({"class_id": range(12), "at": [0] * 12, "passage": texts}), 1200)
+    parts = [{t[i : i + 1200] for i in range(len(t) - 1199)} for t in texts]
+    want = {(a, b) for a in range(12) for b in range(a + 1, 12) if parts[a] & parts[b]}
+    assert len(want) > 5 and set(zip(got["a"], got["b"])) == want
