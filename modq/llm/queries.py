@@ -27,6 +27,17 @@ def both_texts(spark: SparkSession, sf_dir: str, with_source: bool = False) -> D
     return first.unionByName(second)
 
 
+_fitted: dict[tuple[str, str, str], object] = {}
+
+
+def fitted(spark: SparkSession, sf_dir: str, name: str, fit: Callable[[], object]) -> object:
+    """A model fitted once per application and folder of tables, for all queries of its problem."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _fitted:
+        _fitted[key] = fit()
+    return _fitted[key]
+
+
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = split_overlap.find_overlaps(read_table(spark, sf_dir, "multimodal_examples"), read_table(spark, sf_dir, "image_blobs"))
     return pairs.select(F.least("train_row", "eval_row").alias("row_idx_a"), F.greatest("train_row", "eval_row").alias("row_idx_b"))
@@ -69,12 +80,12 @@ def p4_flag_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p5_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read_table(spark, sf_dir, "multimodal_examples").select("row_idx", "text", "lang")
-    return language.detect(rows, language.train(rows))
+    return language.detect(rows, fitted(spark, sf_dir, "coder", lambda: language.train(rows)))
 
 
 def p5_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read_table(spark, sf_dir, "multimodal_examples").select("row_idx", "text", "lang")
-    return language.segments(rows, language.train(rows))
+    return language.segments(rows, fitted(spark, sf_dir, "coder", lambda: language.train(rows)))
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -95,7 +106,7 @@ def p6_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p7_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     moderation, multimodal = read_table(spark, sf_dir, "moderation_examples"), read_table(spark, sf_dir, "multimodal_examples")
-    chain = abuse.train(moderation, multimodal, read_table(spark, sf_dir, "lexicon"))
+    chain = fitted(spark, sf_dir, "chain", lambda: abuse.train(moderation, multimodal, read_table(spark, sf_dir, "lexicon")))
     rows = both_texts(spark, sf_dir, with_source=True)
     return abuse.score_texts(rows, chain, ["tbl", "row_idx", "source"])
 
