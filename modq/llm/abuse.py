@@ -2,7 +2,7 @@
 
 Method: a classifier chain.  Toxicity categories are predicted one after the other by linear models over word n-grams; each later
 model also gets the earlier categories' log-odds, which in training come from out-of-fold predictions, so that a later link
-learns to trust them only as far as they hold on unseen rows.  The last link, trained on the toxicity score of one table and the
+learns to trust them only as far as they hold on unseen rows; folds go by text, and n-grams are chosen anew without each fold.  The last link, trained on the toxicity score of one table and the
 hate label of the other, gives a row's score.  Labels are noisy; n-grams count only with a clear excess of labelled rows, and
 n-grams of quoting, reporting or harmless use are those that lower the rate among rows that have an abusive n-gram.
 
@@ -18,6 +18,7 @@ import math
 import re
 import sys
 import unicodedata
+import zlib
 from collections import Counter
 from functools import lru_cache
 
@@ -183,7 +184,7 @@ class Linear:
     def logit(self, rid: np.ndarray, ind: np.ndarray, n: int, dense: np.ndarray) -> np.ndarray:
         return np.bincount(rid, weights=self.w[ind], minlength=n) + dense @ self.d + self.b
 
-    def fit(self, rid: np.ndarray, ind: np.ndarray, dense: np.ndarray, y: np.ndarray, use: np.ndarray, steps: int = 80) -> "Linear":
+    def fit(self, rid: np.ndarray, ind: np.ndarray, dense: np.ndarray, y: np.ndarray, use: np.ndarray, steps: int = 120) -> "Linear":
         n, keep = len(y), use[rid]
         r, i, target, weight = rid[keep], ind[keep], np.nan_to_num(y), use.astype(float)
         rate = float(np.clip((target * weight).sum() / max(weight.sum(), 1), 1e-3, 0.999))
@@ -232,26 +233,35 @@ class Chain:
         return {k: np.where(blank, 0.0, v) for k, v in out.items()}
 
 
+def _matrix(lists: list[list[str]], features: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+    """(row, feature) of every n-gram that is a feature."""
+    firsts = _firsts(features)
+    ind = [sorted(features[g] for g in _present(ws, features, firsts)) for ws in lists]
+    return np.repeat(np.arange(len(lists)), [len(x) for x in ind]), np.array([k for x in ind for k in x], dtype=np.int64)
+
+
 def fit_chain(rows: list, slots: dict[str, str]) -> Chain:
+    """Later links see log-odds of models that saw neither the row nor any copy of its text, in their features or their weights."""
     y = _labels(rows)
     lists = [[sys.intern(w) for w in score_words(r["text"], slots)] for r in rows]
     any_label = np.where(np.isnan(y[FINAL]), np.nan, np.nanmax([np.nan_to_num(y[c]) for c in (*CHAIN, FINAL)], axis=0)) if rows else np.zeros(0)
+    fold = np.array([zlib.crc32(" ".join(ws).encode("utf-8", "surrogatepass")) % FOLDS for ws in lists], dtype=np.int64)
     features = choose_features(lists, any_label)
-    firsts = _firsts(features)
-    ind = [sorted(features[g] for g in _present(ws, features, firsts)) for ws in lists]
-    rid = np.repeat(np.arange(len(rows)), [len(x) for x in ind])
-    flat = np.array([k for x in ind for k in x], dtype=np.int64)
-    fold, links, logits = np.arange(len(rows)) % FOLDS, [], []
+    whole = _matrix(lists, features)
+    parts = []
+    for f in range(FOLDS):
+        own = choose_features(lists, np.where(fold == f, np.nan, any_label))
+        parts.append((len(own), *_matrix(lists, own)))
+    links, logits = [], []
     for name in (*CHAIN, FINAL):
         dense = np.array(logits).T if logits else np.zeros((len(rows), 0))
         usable = ~np.isnan(y[name])
-        model = Linear(len(features), dense.shape[1]).fit(rid, flat, dense, y[name], usable)
-        z = model.logit(rid, flat, len(rows), dense)
-        for f in range(FOLDS):  # out-of-fold log-odds for the links that follow
-            part = Linear(len(features), dense.shape[1]).fit(rid, flat, dense, y[name], usable & (fold != f), steps=50)
+        links.append((name, Linear(len(features), dense.shape[1]).fit(*whole, dense, y[name], usable)))
+        z = np.zeros(len(rows))
+        for f, (n, rid, ind) in enumerate(parts):
+            part = Linear(n, dense.shape[1]).fit(rid, ind, dense, y[name], usable & (fold != f), steps=80)
             own = fold == f
-            z[own] = part.logit(rid, flat, len(rows), dense)[own]
-        links.append((name, model))
+            z[own] = part.logit(rid, ind, len(rows), dense)[own]
         logits.append(np.clip(z, -6, 6))
     return Chain(slots, features, links)
 
