@@ -261,10 +261,10 @@ def _step(task: tuple[dict, int]) -> tuple[float, dict]:
     return gradients(m, *_own.batch(task[1]))
 
 
-def labelled(texts: list[str], given: set[str], family: set[str]) -> tuple[list, list[str]]:
-    """Plain texts with the spans that the seed forms find, and those without any."""
+def labelled(texts: list[str], given: set[str], family: set[str], learn_from: list[str] | None = None) -> tuple[list, list[str]]:
+    """Plain texts with the spans that the seed forms find, and those without any; names are learned from these texts or others."""
     plain = [pii.plain_text(t) for t in texts]
-    names, common = learn_words(plain, given, family)
+    names, common = learn_words(plain if learn_from is None else [pii.plain_text(t) for t in learn_from], given, family)
     cases, rest = [], []
     for t in plain:
         spans = label_spans(t, names, common)
