@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import gc
+import time
+
+from pyspark.sql import DataFrame, SparkSession
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -20,3 +23,15 @@ def cut(df: DataFrame) -> DataFrame:
             raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(folder or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints")
     return df.checkpoint(eager=True)
+
+
+def release(spark: SparkSession) -> None:
+    """Remove the shuffle files and checkpoints of frames that are no longer referenced.
+
+    They stay until the driver collects its garbage, and its listeners and scheduler hold the last query until another one ends.
+    """
+    for _ in range(2):
+        gc.collect()
+        spark.range(1).collect()
+        time.sleep(0.2)
+        spark.sparkContext._jvm.System.gc()

@@ -14,11 +14,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from ..checkpoint import cut
+from ..checkpoint import cut, release
 from ..ship import ship
 from ..spread import spread
 
-__all__ = ["cut", "map_batches", "nonblank", "read_table", "spread"]
+__all__ = ["cut", "map_batches", "nonblank", "read_table", "release", "spread"]
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

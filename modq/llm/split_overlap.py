@@ -2,17 +2,20 @@
 
 Method: winnowing fingerprints.  Texts are brought to words with case, punctuation, whitespace and look-alike characters
 disregarded; equal ones form a class.  Each class's rolling hashes over ``K`` words are winnowed to window minima, and the
-minima are joined across splits on the diagonals that an alignment may use; pairs with as many collinear seeds as the allowed
-edits must leave are extended by alignment (bit-parallel edit distance over words).  Records with the same picture overlap too.
+minima are joined across splits on the diagonals that an alignment may use; pairs whose sketches allow it and that have as many
+collinear seeds as the allowed edits must leave are extended by alignment (bit-parallel edit distance over words).  Records with
+the same picture overlap too.
 
 Lossless: a text of n words and e = floor(limit * n) edits keeps runs of at least five words once n >= 20, and a window of
 ``WINDOW`` hashes of ``K`` = 4 words lies inside one; shorter texts give all hashes of three words.  ``least_seeds`` is the
-number of seeds that any allowed set of edits leaves.
+number of seeds that any allowed set of edits leaves.  A sketch has 64 bits, each the parity of the words that fall to it: an edit
+removes one word, adds one or both, so two texts within e edits differ in 2e bits at most, and texts that only share phrases in
+far more.  It is compared inside the join, so pairs that only share phrases are never written; above some 100 words it says little.
 
 Hot fingerprints: minima are taken in the order (hot, hash); hot hashes are those of more than 1 / ``HOT_SHARE`` of all classes,
 so there are at most HOT_SHARE x hashes per class of them, whatever the size of the data, and the broadcast set is checked against
 ``MAX_HOT``.  The most frequent hot hashes of a text are not joined on at all, as many as the least number of common seeds
-allows.  Copies are collapsed first, so a third of all rows being copies gives one class.
+allows; they count as common then.  Copies are collapsed first, so a third of all rows being copies gives one class.
 
 Defined results: null and blank texts, texts of punctuation only and null splits overlap nothing; a null image path shows no
 picture; rows without ``row_idx`` are left out; empty tables give no rows.  Texts are processed whole.
@@ -26,9 +29,9 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import cut, map_batches, spread
+from .base import cut, map_batches, release, spread
 from .lookalike import _TO_ARABIC, _TO_LATIN, plain_form
-from .words import shingles, word_numbers, words
+from .words import mix, shingles, word_numbers, words
 
 LIMIT_PERCENT = 15
 K, WINDOW, LONG = 4, 2, 20
@@ -95,6 +98,11 @@ def _hashes(h: np.ndarray, k: int) -> np.ndarray:
     return shingles(h, k).view(np.int64)
 
 
+def digest(column: "str | F.Column") -> "F.Column":
+    """128 bits of SHA-256; the hexadecimal spelling is four times as long."""
+    return F.substring(F.unhex(F.sha2(column, 256)), 1, 16)
+
+
 def text_classes(rows: DataFrame) -> DataFrame:
     """``row_idx, split, plain``: words of every non-blank text of a train or evaluation row."""
     some = rows.where(F.col("split").isin(*TRAIN, *EVAL) & F.col("row_idx").isNotNull() & F.col("text").isNotNull())
@@ -105,7 +113,7 @@ def text_classes(rows: DataFrame) -> DataFrame:
         return {"row_idx": [cols["row_idx"][i] for i in keep], "is_train": [cols["split"][i] in TRAIN for i in keep], "plain": [plain[i] for i in keep]}
 
     some = some.select(F.col("row_idx").cast("long").alias("row_idx"), "split", "text")
-    return map_batches(spread(some), batch, "row_idx long, is_train boolean, plain string").withColumn("key", F.sha2("plain", 256))
+    return map_batches(spread(some), batch, "row_idx long, is_train boolean, plain string").withColumn("key", digest("plain"))
 
 
 def all_hashes(classes: DataFrame) -> DataFrame:
@@ -144,52 +152,53 @@ def spare_seeds(n: int) -> int:
     return min(least_seeds(m, True) for m in range(n, longest)) - 1
 
 
-def fingerprints(classes: DataFrame, hot: dict[int, int]) -> DataFrame:
-    """``class_id, train, evals, n, long_family, left_out, g, at, spare``: the winnowed hashes of classes of seven words or more.
+def sketches(h: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """64 bits a text: in each, whether the number of words that fall to it is odd.  An edit changes two bits at most."""
+    bits = np.uint64(1) << (mix(h, 64) >> np.uint64(58))
+    return np.bitwise_xor.reduceat(bits, np.cumsum(sizes) - sizes).view(np.int64) if len(h) else np.zeros(0, np.int64)
+
+
+def fingerprints(classes: DataFrame, hot: dict[int, int], spared: bool) -> DataFrame:
+    """``class_id, n, long_family, left_out, sketch, g, at``: the winnowed hashes of classes of seven words or more.
 
-    ``spare`` marks the most frequent hot hashes of a class, as many (``left_out``) as ``spare_seeds`` allows; the train side
-    does not join on them.
+    ``spared`` leaves out the most frequent hot hashes of a class, as many (``left_out``) as ``spare_seeds`` allows; one side of
+    the join is enough for that.
     """
     ordered = sorted(hot)
     shared = classes.sparkSession.sparkContext.broadcast((np.array(ordered, np.int64), np.array([hot[g] for g in ordered], np.int64)))
-    names = ("class_id", "train", "evals")
 
     def batch(cols: dict[str, list]) -> dict[str, list]:
         known, often = shared.value
-        out: dict[str, list] = {c: [] for c in (*names, "n", "left_out", "g", "at", "g_long", "at_long", "spare")}
+        out: dict[str, list] = {c: [] for c in ("class_id", "n", "long_family", "left_out", "sketch", "g", "at")}
         lists = [p.split(" ") for p in cols["plain"]]
         h, sizes = word_numbers(lists)
         every_short, every_long = _hashes(h, K_SHORT), _hashes(h, K)  # of the whole batch; texts take their slices
-        wins, none = minima(every_long, known), np.zeros(0, np.int64)
+        wins, sketch = minima(every_long, known), sketches(h, sizes)
         for i, (n, end) in enumerate(zip(sizes.tolist(), np.cumsum(sizes).tolist())):
             if edits_allowed(n + n // 5) == 0:  # no longer text within the limit either: only copies
                 continue
-            short = every_short[end - n : end - K_SHORT + 1] if n < SHORT else none
-            long = every_long[end - n : end - K + 1] if n >= LONG else none
-            at = chosen(wins[end - n : end - K]) if n >= LONG else none
-            for c in names:
-                out[c].append(cols[c][i])
-            out["n"].append(n)
-            out["g"].append(short)
-            out["at"].append(np.arange(len(short), dtype=np.int32))
-            seeds = long[at]
-            spare = np.zeros(len(seeds), bool)
-            if len(known) and len(seeds):
-                k = np.minimum(np.searchsorted(known, seeds), len(known) - 1)
-                count = np.where(known[k] == seeds, often[k], 0)
-                top = np.argsort(-count, kind="stable")[: spare_seeds(n)]
-                spare[top[count[top] > 0]] = True
-            out["g_long"].append(seeds)
-            out["at_long"].append(at.astype(np.int32))
-            out["spare"].append(spare)
-            out["left_out"].append(int(spare.sum()))
+            families = []
+            if n < SHORT:
+                short = every_short[end - n : end - K_SHORT + 1]
+                families.append((False, 0, short, np.arange(len(short))))
+            if n >= LONG:
+                at = chosen(wins[end - n : end - K])
+                seeds, left_out = every_long[end - n : end - K + 1][at], 0
+                if spared and len(known):
+                    k = np.minimum(np.searchsorted(known, seeds), len(known) - 1)
+                    count = np.where(known[k] == seeds, often[k], 0)
+                    top = np.argsort(-count, kind="stable")[: spare_seeds(n)]
+                    top = top[count[top] > 0]
+                    seeds, at, left_out = np.delete(seeds, top), np.delete(at, top), len(top)
+                families.append((True, left_out, seeds, at))
+            for long_family, left_out, seeds, at in families:
+                for c, value in zip(out, (cols["class_id"][i], n, long_family, left_out, int(sketch[i]), seeds, at.astype(np.int32))):
+                    out[c].append(value)
         return out
 
-    schema = "class_id long, train boolean, evals boolean, n int, left_out int, g array<long>, at array<int>, g_long array<long>, at_long array<int>, spare array<boolean>"
-    arrays = map_batches(classes, batch, schema)
-    short = arrays.select(*names, "n", F.lit(False).alias("long_family"), F.lit(0).alias("left_out"), F.inline(F.arrays_zip("g", "at")))
-    long = arrays.select(*names, "n", F.lit(True).alias("long_family"), "left_out", F.inline(F.arrays_zip(F.col("g_long").alias("g"), F.col("at_long").alias("at"), "spare")))
-    return short.withColumn("spare", F.lit(False)).unionByName(long)
+    schema = "class_id long, n int, long_family boolean, left_out int, sketch long, g array<long>, at array<int>"
+    arrays = map_batches(classes.select("class_id", "plain"), batch, schema)
+    return arrays.select("class_id", "n", "long_family", "left_out", "sketch", F.inline(F.arrays_zip("g", "at")))
 
 
 def hot_hashes(classes: DataFrame) -> dict[int, int]:
@@ -199,32 +208,35 @@ def hot_hashes(classes: DataFrame) -> dict[int, int]:
     return {r.g: r.c for r in hot.orderBy(F.desc("c"), "g").limit(MAX_HOT).collect()}  # beyond it only the order suffers
 
 
-def near_pairs(classes: DataFrame) -> DataFrame:
-    """``a, b``: classes (train side, evaluation side) that are not equal but within the limit."""
-    prints = cut(fingerprints(classes, hot_hashes(classes)))
-    a = prints.where("train AND NOT spare").select(F.col("class_id").alias("a"), F.col("n").alias("na"), "left_out", "long_family", "g", F.col("at").alias("pa"))
-    b = prints.where("evals").select(F.col("class_id").alias("b"), F.col("n").alias("nb"), "long_family", "g", F.col("at").alias("pb"))
+def seed_pairs(classes: DataFrame) -> DataFrame:
+    """``a, b``: classes (train side, evaluation side) with enough common seeds and sketches that allow the limit."""
+    hot = hot_hashes(classes)
+    release(classes.sparkSession)
+    a, b = fingerprints(classes.where("train"), hot, True), fingerprints(classes.where("evals"), hot, False)
+    a = a.select(F.col("class_id").alias("a"), F.col("n").alias("na"), "left_out", "long_family", F.col("sketch").alias("sa"), "g", F.col("at").alias("pa"))
+    b = b.select(F.col("class_id").alias("b"), F.col("n").alias("nb"), "long_family", F.col("sketch").alias("sb"), "g", F.col("at").alias("pb"))
     longer = F.greatest("na", "nb")
     edits = F.floor(longer * LIMIT_PERCENT / 100)
     seeds = a.join(b, ["long_family", "g"]).where(
         (F.col("a") != F.col("b")) & (F.abs(F.col("na") - F.col("nb")) <= edits) & (F.abs(F.col("pa") - F.col("pb")) <= edits)
-    )
+        & (F.bit_count(F.col("sa").bitwiseXOR(F.col("sb"))) <= 2 * edits)
+    )
     n, e = F.col("n"), F.floor(F.col("n") * LIMIT_PERCENT / 100)
     need_long = F.ceil((n - e - (K + WINDOW - 2) * (e + 1)) / WINDOW)
     need_short = n - K_SHORT + 1 - K_SHORT * e
-    counted = seeds.groupBy("a", "b", "long_family").agg(F.count("*").alias("common"), F.max(longer).alias("n"), F.max("left_out").alias("left_out"))
     need = F.greatest(F.lit(1), F.when(F.col("long_family"), need_long).otherwise(need_short).cast("long"))  # least_seeds
-    counted = cut(counted.withColumn("need", need).where(F.col("common") >= F.greatest(F.lit(1), F.col("need") - F.col("left_out"))))  # read twice
-    # pairs that are short of seeds get those left out counted, at most ``left_out`` a pair
-    short = counted.where("common < need").select("a", "b", "common", "need", "n")
-    spare = prints.where("train AND spare").select(F.col("class_id").alias("a"), "g", F.col("at").alias("pa"))
-    seeds_of_b = prints.where("evals AND long_family").select(F.col("class_id").alias("b"), "g", F.col("at").alias("pb"))
-    near = F.abs(F.col("pa") - F.col("pb")) <= F.floor(F.col("n") * LIMIT_PERCENT / 100)
-    more = short.join(spare, "a").join(seeds_of_b, ["b", "g"]).where(near).groupBy("a", "b").agg(F.count("*").alias("more"), F.max("common").alias("common"), F.max("need").alias("need"))
-    grouped = counted.where("common >= need").select("a", "b").unionByName(more.where("common + more >= need").select("a", "b")).distinct()
-    text = classes.select("class_id", "plain")
-    both = grouped.join(text.select(F.col("class_id").alias("a"), F.col("plain").alias("ta")), "a").join(
-        text.select(F.col("class_id").alias("b"), F.col("plain").alias("tb")), "b"
+    counted = seeds.groupBy("a", "b", "long_family").agg(F.count("*").alias("common"), F.max(longer).alias("n"), F.max("left_out").alias("left_out"))
+    return counted.where(F.col("common") >= F.greatest(F.lit(1), need - F.col("left_out"))).select("a", "b").distinct()
+
+
+def near_pairs(classes: DataFrame) -> DataFrame:
+    """``a, b``: classes (train side, evaluation side) that are not equal but within the limit."""
+    pairs = cut(seed_pairs(classes))
+    release(classes.sparkSession)
+    # texts are shuffled once for both sides
+    ends = pairs.select("a", "b", F.explode(F.array("a", "b")).alias("class_id")).join(classes.select("class_id", "plain"), "class_id")
+    both = ends.groupBy("a", "b").agg(
+        F.max(F.when(F.col("class_id") == F.col("a"), F.col("plain"))).alias("ta"), F.max(F.when(F.col("class_id") == F.col("b"), F.col("plain"))).alias("tb")
     )
 
     def align(cols: dict[str, list]) -> dict[str, list]:
@@ -241,9 +253,11 @@ def text_overlaps(rows: DataFrame) -> DataFrame:
         F.min("row_idx").alias("class_id"), F.first("plain").alias("plain"), F.max("is_train").alias("train"), F.max(~F.col("is_train")).alias("evals")
     )
     classes = cut(grouped)
+    member = cut(texts.select("row_idx", "is_train", "key").join(classes.select("key", "class_id"), "key").select("row_idx", "is_train", "class_id"))
+    del texts, grouped
+    release(rows.sparkSession)
     near = near_pairs(classes.select("class_id", "plain", "train", "evals"))
     same = classes.where("train AND evals").select(F.col("class_id").alias("a"), F.col("class_id").alias("b"))
-    member = texts.select("row_idx", "is_train", "key").join(classes.select("key", "class_id"), "key")
     return (
         near.unionByName(same)
         .join(member.where("is_train").select(F.col("class_id").alias("a"), F.col("row_idx").alias("train_row")), "a")
@@ -263,12 +277,12 @@ def picture_overlaps(rows: DataFrame, blobs: DataFrame) -> DataFrame:
 
     Rows of one path have one blob, so a picture is the hash of its blob, or its path where there is no blob.
     """
-    content = blobs.where("path IS NOT NULL").groupBy(path_key(F.col("path")).alias("path")).agg(F.min(F.sha2("content", 256)).alias("sha"))
+    content = blobs.where("path IS NOT NULL").groupBy(path_key(F.col("path")).alias("path")).agg(F.min(digest("content")).alias("sha"))
     shown = (
         rows.where(F.col("split").isin(*TRAIN, *EVAL) & F.col("row_idx").isNotNull() & (F.length(F.trim("image_path")) > 0))
         .select(F.col("row_idx").cast("long").alias("row_idx"), F.col("split").isin(*TRAIN).alias("is_train"), path_key(F.col("image_path")).alias("path"))
         .join(content, "path", "left")
-        .select("row_idx", "is_train", F.coalesce("sha", F.concat(F.lit("path:"), "path")).alias("picture"))
+        .select("row_idx", "is_train", F.coalesce("sha", digest(F.concat(F.lit("path:"), "path"))).alias("picture"))
     )
     a = shown.where("is_train").select("picture", F.col("row_idx").alias("train_row"))
     b = shown.where("NOT is_train").select("picture", F.col("row_idx").alias("eval_row"))

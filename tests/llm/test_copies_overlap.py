@@ -104,6 +104,24 @@ def test_overlaps_agree_with_brute_force(spark, monkeypatch, all_hot):
     assert got == want and (900, 906) in got
 
 
+def test_sketches_bound_edits_and_keep_texts_with_the_same_phrases_apart(spark):
+    rng = random.Random(5)
+    for n in (7, 20, 40, 200):
+        for _ in range(50):
+            a = [rng.choice("abcdefghijklmnop") for _ in range(n)]
+            b = edited(rng, a, n * 15 // 100) or ["x"]
+            h, sizes = so.word_numbers([a, b])
+            x, y = so.sketches(h, sizes).tolist()
+            assert ((x ^ y) & (2**64 - 1)).bit_count() <= 2 * distance(a, b)
+    phrases = [" ".join(f"p{k}w{j}" for j in range(6)) for k in range(40)]  # six words: shared seeds everywhere
+    rows = [(i, i % 2 == 0, i % 2 == 1, " ".join(rng.sample(phrases, 6))) for i in range(400)]
+    rows += [(400, True, False, f"{phrases[0]} x {phrases[1]} {phrases[2]}"), (401, False, True, f"{phrases[0]} {phrases[1]} y {phrases[2]}")]
+    classes = spark.createDataFrame(rows, "class_id long, train boolean, evals boolean, plain string").repartition(3)
+    joined = {tuple(r) for r in so.seed_pairs(classes).collect()}
+    assert (400, 401) in joined and len(joined) < 400  # of 20,000 pairs that share a phrase
+    assert {tuple(r) for r in so.near_pairs(classes).collect()} >= {(400, 401)}
+
+
 def test_pictures(spark):
     cols = "row_idx long, split string, text string, image_path string, source_img_path string"
     rows = [(1, "train", "a", "images/x.jpg", "s/1"), (2, "dev", "b", "./images//x.jpg", "s/2"), (3, "test", "c", "images/y.jpg", "s/2"), (4, "test", "d", "images/none.jpg", None), (5, "train", "e", "images/none.jpg", "s"), (6, "dev", "f", None, "s"), (7, "train", "g", None, "s")]
