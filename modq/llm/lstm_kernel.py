@@ -45,7 +45,7 @@ def _node(op: str, inputs: list[str], outputs: list[str], attributes: list[bytes
 
 
 def graph(p: dict[str, np.ndarray]) -> bytes:
-    """The model's bytes; input ``x`` (time, batch) of symbols, output ``y`` (time, direction, batch, hidden)."""
+    """The model's bytes; inputs ``x`` (time, batch) of symbols and the first states ``h``, ``c``, output ``y`` (time, direction, batch, hidden)."""
     h = p["rec_f"].shape[0]
 
     def gates(a: np.ndarray) -> np.ndarray:
@@ -59,12 +59,13 @@ def graph(p: dict[str, np.ndarray]) -> bytes:
     parts = {"table": p["table"], "W": w, "R": r, "B": b}
     nodes = [
         _node("Gather", ["table", "x"], ["a"]),
-        _node("LSTM", ["a", "W", "R", "B"], ["y"], [_field(1, "hidden_size") + _field(3, h) + _field(20, ATTRIBUTE_INT), _field(1, "direction") + _field(4, "bidirectional") + _field(20, ATTRIBUTE_STRING)]),
+        _node("LSTM", ["a", "W", "R", "B", "", "h", "c"], ["y"], [_field(1, "hidden_size") + _field(3, h) + _field(20, ATTRIBUTE_INT), _field(1, "direction") + _field(4, "bidirectional") + _field(20, ATTRIBUTE_STRING)]),
     ]
     body = b"".join(
         [*(_field(1, n) for n in nodes), _field(2, "tagger"),
          *(_field(5, _tensor(k, a.astype(np.float32))) for k, a in parts.items()),
-         _field(11, _value("x", INT64, ("time", "batch"))), _field(12, _value("y", FLOAT, ("time", 2, "batch", h)))]
+         _field(11, _value("x", INT64, ("time", "batch"))),
+         *(_field(11, _value(s, FLOAT, (2, "batch", h))) for s in "hc"), _field(12, _value("y", FLOAT, ("time", 2, "batch", h)))]
     )
     return _field(1, IR_VERSION) + _field(7, body) + _field(8, _field(1, "") + _field(2, OPSET))
 

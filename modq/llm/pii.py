@@ -30,7 +30,11 @@ from .lookalike import _TO_LATIN, _UNSEEN
 
 KINDS = ("email", "phone", "id_number", "address", "person_name")
 TAGS = ("O", *(f"{p}-{k}" for k in KINDS for p in "BI"))
-WINDOW, OVERLAP, BATCH, PATHS = 384, 48, 128, 512
+WINDOW, OVERLAP, PATHS = 384, 48, 512
+#: Characters scored at once, so that the kernel's gates stay in a core's cache, but this many texts at least.
+CELLS, LEAST = 3_000, 12
+#: So many blanks are taken to follow every text, so that its end is read alike whatever its neighbours in a batch are.
+BLANKS = 4
 SYMBOLS = 99
 HIDDEN, WIDTH = 24, 12
 #: What beginning a span costs beside its learned price; set on rows that were not trained on, where it halves the false names.
@@ -105,12 +109,12 @@ class BiLstmCrf:
     def hidden(self) -> int:
         return self.p["rec_f"].shape[0]
 
-    def run(self, x: np.ndarray, d: str, keep: list | None = None) -> np.ndarray:
-        """Hidden states (time x batch) of one direction for symbols ``x`` (time x batch)."""
+    def run(self, x: np.ndarray, d: str, keep: list | None = None, state: np.ndarray | None = None) -> np.ndarray:
+        """Hidden states (time x batch) of one direction for symbols ``x`` (time x batch), from ``state`` (hidden, cell) or nothing."""
         k = self.hidden
         table, rec = self.p["table"] @ self.p[f"in_{d}"] + self.p[f"bias_{d}"], self.p[f"rec_{d}"]
         steps, n = x.shape
-        h, c = np.zeros((n, k), np.float32), np.zeros((n, k), np.float32)
+        h, c = (np.zeros((n, k), np.float32) if state is None else np.repeat(state[i : i + 1], n, axis=0) for i in (0, 1))
         out = np.empty((steps, n, k), np.float32)
         for t in range(steps) if d == "f" else range(steps - 1, -1, -1):
             z = table[x[t]] + h @ rec
@@ -122,19 +126,30 @@ class BiLstmCrf:
                 keep.append((t, h, before, g, u, tc))
             h = g[:, 2 * k :] * tc
             out[t] = h
+        if state is not None:
+            state[:] = h[0], c[0]
         return out
 
+    def after(self) -> np.ndarray:
+        """The backward direction's state before a text's end: it has read blanks."""
+        state = np.zeros((2, self.hidden), np.float32)
+        self.run(np.full((BLANKS, 1), SYMBOLS - 1), "b", state=state)
+        return state
+
     def emissions(self, x: np.ndarray) -> np.ndarray:
         """Tag scores (time x batch x tags) in numpy."""
-        return np.concatenate([self.run(x, "f"), self.run(x, "b")], axis=2) @ self.p["out"] + self.p["out_bias"]
+        return np.concatenate([self.run(x, "f"), self.run(x, "b", state=self.after())], axis=2) @ self.p["out"] + self.p["out_bias"]
 
     def score(self, x: np.ndarray) -> np.ndarray:
         """The same by the compiled kernel, where there is one."""
         if not hasattr(self, "_session"):
-            self._session = lstm_kernel.session(self.p)
+            self._session, self._after = lstm_kernel.session(self.p), self.after()
         if self._session is None:
             return self.emissions(x)
-        y, h = self._session.run(None, {"x": x.astype(np.int64)})[0], self.hidden
+        h = self.hidden
+        state = np.zeros((2, 2, x.shape[1], h), np.float32)  # hidden and cell, direction, batch
+        state[:, 1] = self._after[:, None]
+        y = self._session.run(None, {"x": x.astype(np.int64), "h": state[0], "c": state[1]})[0]
         e = y[:, 0] @ self.p["out"][:h]  # one small product a step, which no library spreads over threads
         e += y[:, 1] @ self.p["out"][h:]
         e += self.p["out_bias"]
@@ -189,9 +204,9 @@ class BiLstmCrf:
             part = short[lo : lo + PATHS]
             sizes = [len(texts[k]) for k in part]
             e = np.zeros((sizes[-1], len(TAGS), len(part)), np.float32)
-            for a in range(0, len(part), BATCH):
-                own = self._windows([texts[k] for k in part[a : a + BATCH]])
-                e[: len(own), :, a : a + BATCH] = own.transpose(0, 2, 1)
+            for a, b in batches(sizes):
+                own = self._windows([texts[k] for k in part[a:b]])
+                e[: sizes[b - 1], :, a:b] = own[: sizes[b - 1]].transpose(0, 2, 1)
             self._paths(out, part, e, sizes)
         lo = len(short)
         while lo < len(order):  # several windows each; at least one text, of similar lengths
@@ -201,12 +216,11 @@ class BiLstmCrf:
             part, lo = order[lo:hi], hi
             sizes = [len(texts[k]) for k in part]
             sums, weight = np.zeros((sizes[-1], len(TAGS), len(part)), np.float32), np.full((sizes[-1], 1, len(part)), 1e-9, np.float32)
-            windows = [(j, at) for j, n in enumerate(sizes) for at in range(0, n - OVERLAP, WINDOW - OVERLAP)]
-            for at_once in range(0, len(windows), BATCH):
-                some = windows[at_once : at_once + BATCH]
-                e = self._windows([texts[part[j]][at : at + WINDOW] for j, at in some])
-                for w, (j, at) in enumerate(some):
-                    n = min(WINDOW, sizes[j] - at)
+            windows = sorted((min(WINDOW, n - at), j, at) for j, n in enumerate(sizes) for at in range(0, n - OVERLAP, WINDOW - OVERLAP))
+            for a, b in batches([n for n, *_ in windows]):
+                some = windows[a:b]
+                e = self._windows([texts[part[j]][at : at + n] for n, j, at in some])
+                for w, (n, j, at) in enumerate(some):
                     ramp = np.minimum(np.arange(1, n + 1), np.arange(WINDOW, WINDOW - n, -1)).astype(np.float32)[:, None]
                     sums[at : at + n, :, j] += e[:n, w] * ramp
                     weight[at : at + n, :, j] += ramp
@@ -234,6 +248,17 @@ class BiLstmCrf:
         return model
 
 
+def batches(sizes: list[int]) -> Iterator[tuple[int, int]]:
+    """Consecutive ranges of ascending ``sizes`` of ``CELLS`` characters with their padding, or of ``LEAST``."""
+    lo = 0
+    while lo < len(sizes):
+        hi = min(lo + LEAST, len(sizes))
+        while hi < len(sizes) and (hi + 1 - lo) * sizes[hi] <= CELLS:
+            hi += 1
+        yield lo, hi
+        lo = hi
+
+
 @lru_cache(maxsize=2)
 def default_model() -> BiLstmCrf:
     return BiLstmCrf.load(Path(__file__).parent / "models" / "pii.npz")

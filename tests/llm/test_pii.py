@@ -28,6 +28,22 @@ def test_personal_information(spark):
     assert pii.find_pii(df.where("false")).count() == 0 and pii.spans_of([], model) == []
 
 
+def test_a_text_is_read_alike_alone_and_beside_longer_ones():
+    model = pii.default_model()
+    texts = ["The shop is new. Moved last year to 190 old granary avenue, hexley.", "Nothing happened at the depot. She lives at 88 Dovelark Lane, Kestrelton.", "A quiet day. Write to me at dfenloche@harbournet.test."]
+    spans = [pii.spans_of([t], model)[0] for t in texts]
+    assert all(s and s[-1][1] >= len(t) - 1 for t, s in zip(texts, spans))
+    for extra in (3, 40, 300):
+        assert pii.spans_of([*texts, "x " * (len(texts[1]) // 2 + extra)], model)[:3] == spans
+
+
+def test_batches_fit_the_cache_and_hold_every_text_once():
+    sizes = sorted(np.random.default_rng(2).integers(1, pii.WINDOW, 700).tolist())
+    ranges = list(pii.batches(sizes))
+    assert [i for a, b in ranges for i in range(a, b)] == list(range(700)) and list(pii.batches([])) == []
+    assert all(b - a <= pii.LEAST or (b - a) * sizes[b - 1] <= pii.CELLS for a, b in ranges)
+
+
 def test_gradients_of_the_tagger_agree_with_differences():
     rng = np.random.default_rng(0)
     m = pii.BiLstmCrf(hidden=5)
