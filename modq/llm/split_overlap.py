@@ -233,11 +233,10 @@ def near_pairs(classes: DataFrame) -> DataFrame:
     """``a, b``: classes (train side, evaluation side) that are not equal but within the limit."""
     pairs = cut(seed_pairs(classes))
     release(classes.sparkSession)
-    # texts are shuffled once for both sides
-    ends = pairs.select("a", "b", F.explode(F.array("a", "b")).alias("class_id")).join(classes.select("class_id", "plain"), "class_id")
-    both = ends.groupBy("a", "b").agg(
-        F.max(F.when(F.col("class_id") == F.col("a"), F.col("plain"))).alias("ta"), F.max(F.when(F.col("class_id") == F.col("b"), F.col("plain"))).alias("tb")
-    )
+    text = classes.select("class_id", "plain")
+    both = pairs.join(text.select(F.col("class_id").alias("a"), F.col("plain").alias("ta")), "a").join(
+        text.select(F.col("class_id").alias("b"), F.col("plain").alias("tb")), "b"
+    )  # one text of a pair is shuffled with it, not both
 
     def align(cols: dict[str, list]) -> dict[str, list]:
         keep = [i for i, (x, y) in enumerate(zip(cols["ta"], cols["tb"])) if within_limit(x.split(" "), y.split(" "))]
